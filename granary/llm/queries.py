@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import mixing
+from granary.llm import mixing, packing
 from granary.llm.common import read
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_mixing": op9_mixing}
+    return {"op1_packing": op1_packing, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
