@@ -108,7 +108,9 @@ class Counter:
         return found
 
 
-counter = functools.cache(Counter)
+@functools.cache
+def counter(name: str) -> Counter:
+    return Counter(name)
 
 
 def token_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer: str = "piece_bpe_32k.model", limit: int = 4096) -> DataFrame:
