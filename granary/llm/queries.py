@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import embedding_dedup, mixing, packing, simhash, tokens, top_k
+from granary.llm import embedding_dedup, language_model, mixing, packing, simhash, tokens, top_k
 from granary.llm.common import read
 
 
@@ -35,8 +35,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_folds(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_embedding_dedup": op2_embedding_dedup, "op3_simhash": op3_simhash, "op4_token_counts": op4_token_counts, "op5_top_k": op5_top_k, "op9_mixing": op9_mixing}
+    return {"op1_packing": op1_packing, "op2_embedding_dedup": op2_embedding_dedup, "op3_simhash": op3_simhash, "op4_token_counts": op4_token_counts, "op5_top_k": op5_top_k, "op9_mixing": op9_mixing, "op10_language_model": op10_language_model}
 
 
 def oracle_sql() -> dict[str, str]:
