@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import embedding_dedup, language_model, mixing, packing, simhash, tokens, top_k
+from granary.llm import embedding_dedup, language_model, mixing, packing, pii, quality, simhash, tokens, top_k, toxicity
 from granary.llm.common import read
 
 
@@ -31,6 +31,18 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -40,7 +52,7 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_embedding_dedup": op2_embedding_dedup, "op3_simhash": op3_simhash, "op4_token_counts": op4_token_counts, "op5_top_k": op5_top_k, "op9_mixing": op9_mixing, "op10_language_model": op10_language_model}
+    return {"op1_packing": op1_packing, "op2_embedding_dedup": op2_embedding_dedup, "op3_simhash": op3_simhash, "op4_token_counts": op4_token_counts, "op5_top_k": op5_top_k, "op6_toxicity": op6_toxicity, "op7_quality": op7_quality, "op8_pii": op8_pii, "op9_mixing": op9_mixing, "op10_language_model": op10_language_model}
 
 
 def oracle_sql() -> dict[str, str]:
