@@ -7,7 +7,8 @@ clause asserts; a document is the sum over its clauses, scaled by a logistic lay
 by its own weights, not as an insult.
 
 Insults come from a fixed list, and from the labels: prefixes of words that stand mostly in toxic documents of the training sample,
-by the lower bound of their log-odds. The sample is bounded (SAMPLE labelled rows, those of the smallest hashes), and one document stands for
+by the lower bound of their log-odds. A prefix can count wherever it stands, or only where longer words that begin with it are dense
+in the document, as a stem that also turns up by chance. The sample is bounded (SAMPLE labelled rows, those of the smallest hashes), and one document stands for
 its near copies, so that their other words aren't learnt. Lexicon and layer are small and bounded; scoring is one pass over the texts.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,8 +30,8 @@ from granary.llm.common import bound_batches, fold, id_text, stage
 
 #: Labelled rows that are learnt from, at most; learnt entries of the lexicon, at most.
 SAMPLE, ENTRIES = 30_000, 500
-#: Lengths of prefixes that can be learnt.
-PREFIX = range(3, 11)
+#: Lengths of prefixes that can be learnt; a dense one stands twice at least, and once in so many words.
+PREFIX, SPARSE = range(3, 11), 160
 # Common English words of each class.
 INSULTS = """idiot moron imbecile stupid dumb dumbass fool loser scum trash garbage pathetic worthless disgusting clown jerk bastard bitch
 asshole cretin dimwit halfwit pig vermin freak creep filth slut whore retard retarded degenerate subhuman ugly coward scumbag dirtbag""".split()
@@ -115,38 +117,51 @@ KINDS = {"I": 0, "t": 1, "n": 2, "m": 2, "r": 3, "q": 3, "h": 4}
 PRIOR = np.array([-3.0, 1.0, 1.2, 0.1, 0.2, 1.2])
 
 
+def dense(words: list[str], stems: set[str] | None = None) -> set[str]:
+    """Prefixes (of `stems`, or any) with which many longer words of a document begin."""
+    counts: Counter = Counter()
+    for w in words:
+        for k in PREFIX:
+            if k < len(w) and (stems is None or w[:k] in stems):
+                counts[w[:k]] += 1
+    least = max(2, len(words) / SPARSE)
+    return {p for p, n in counts.items() if n >= least}
+
+
 class Lexicon:
-    """Insults by word and by prefix of a word, with their weights."""
+    """Insults by word, by prefix of a word, and by stem (a prefix that counts where it is dense), with their weights."""
 
-    def __init__(self, words: dict[str, float], prefixes: dict[str, float]):
+    def __init__(self, words: dict[str, float], prefixes: dict[str, float], stems: dict[str, float]):
         import ahocorasick
 
-        self.words, self.prefixes = words, prefixes
+        self.words, self.prefixes, self.stems = words, prefixes, stems
         self.find = ahocorasick.Automaton()
-        for w in (*words, *prefixes, *THREATS):
+        for w in (*words, *prefixes, *stems, *THREATS):
             self.find.add_word(w, len(w))
         self.find.make_automaton()
         self.classes = {w: c for c, some in (("F", FILLERS), ("N", NEGATIONS), ("R", [*REPORTS, '"', "“", "”", "«", "»"]), ("Y", TARGETS), ("H", THREATS)) for w in some}
 
-    def weight(self, word: str) -> float:
-        return max(self.words.get(word, 0.0), max((self.prefixes.get(word[:k], 0.0) for k in PREFIX if k <= len(word)), default=0.0))
+    def weight(self, word: str, active: set[str]) -> float:
+        return max([self.words.get(word, 0.0), *(self.prefixes.get(word[:k], 0.0) for k in PREFIX if k <= len(word)), *(self.stems[word[:k]] for k in PREFIX if k < len(word) and word[:k] in active)])
 
     def features(self, text: str) -> np.ndarray:
         """Summed weights of each kind."""
-        out = np.zeros(5)
+        out = np.zeros(len(PRIOR) - 1)
         low = text.lower()
-        spans: list[tuple[int, int]] = []
-        for end, n in self.find.iter(low):
-            start = end - n + 1
-            if (start and low[start - 1].isalnum()) or (spans and start < spans[-1][1]):
+        hits = [end - n + 1 for end, n in self.find.iter(low) if end < n or not low[end - n].isalnum()]
+        if not hits:
+            return out
+        active = dense(TOKEN.findall(low), set(self.stems)) if self.stems else set()
+        done = -1
+        for start in hits:
+            if start < done:
                 continue
-            before = [m.end() for m in CLAUSE.finditer(low, max(0, start - 2000), start)]
+            edge = max((low.rfind(c, 0, start) for c in ".!?;:\n\r"), default=-1) + 1
             after = CLAUSE.search(low, start)
-            spans.append((before[-1] if before else max(0, start - 2000), after.start() if after else len(low)))
-        for a, b in spans:
+            done = after.start() if after else len(low)
             symbols, weights = [], []
-            for token in TOKEN.findall(low, a, b):
-                weight = self.weight(token)
+            for token in TOKEN.findall(low, edge, done):
+                weight = self.weight(token, active)
                 symbols.append("I" if weight else self.classes.get(token, "."))
                 weights.append(weight or 1.0)
             if "I" in symbols or "H" in symbols:
@@ -174,15 +189,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, text: str, d
     return own.join(F.broadcast(chosen.select("doc_id", "y")), "doc_id").select("text", "y")  # at most `limit` ids
 
 
-def learnt_prefixes(sample: DataFrame, entries: int = ENTRIES) -> dict[str, float]:
-    """Prefixes of words by the lower bound of their log-odds of toxic documents, where it is high."""
+def learnt(sample: DataFrame, entries: int = ENTRIES) -> tuple[dict[str, float], dict[str, float]]:
+    """Prefixes and stems by the lower bound of their log-odds of toxic documents, where it is high."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = TOKEN.findall(text.lower())
-                rows.append((family(words), y, sorted({w[:k] for w in set(words) for k in PREFIX if k <= len(w)})))
+                rows.append((family(words), y, sorted({w[:k] for w in set(words) for k in PREFIX if k <= len(w)} | {p + "+" for p in dense(words)})))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.list_(pa.string())), strict=True)], names=["family", "y", "prefixes"])
 
@@ -190,12 +205,20 @@ def learnt_prefixes(sample: DataFrame, entries: int = ENTRIES) -> dict[str, floa
     documents = stage(documents, "toxic-sample")
     n = {r.y: r.n for r in documents.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
-        return {}
-    counts = documents.select(F.explode("prefixes").alias("prefix"), "y").groupBy("prefix").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where("a >= 5")
+        return {}, {}
+    counts = documents.select(F.explode("prefixes").alias("prefix"), "y").groupBy("prefix").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     odds = F.log((F.col("a") + 0.5) / (n[1] + 1)) - F.log((F.col("b") + 0.5) / (n[0] + 1))
     low = odds - F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    found = counts.withColumn("low", low).where(F.col("low") >= 2.5).where("b <= 0.02 * a or b = 0").orderBy(F.desc("low"), "prefix").limit(4 * entries).collect()
-    good = {r.prefix: (r.low, r.a) for r in found}
+    stem = F.endswith("prefix", F.lit("+"))
+    good = counts.withColumn("low", low).where(F.when(stem, (F.col("a") >= 3) & (F.col("low") >= 2.4)).otherwise((F.col("a") >= 5) & (F.col("low") >= 2.5) & (F.col("b") <= 0.02 * F.col("a"))))
+    found = good.orderBy(F.desc("low"), "prefix").limit(8 * entries).collect()
+    prefixes = nested({r.prefix: (r.low, r.a) for r in found if not r.prefix.endswith("+")}, entries)
+    stems = nested({r.prefix[:-1]: (r.low, r.a) for r in found if r.prefix.endswith("+")}, entries)
+    return prefixes, {p: w for p, w in stems.items() if not any(p[:k] in prefixes for k in PREFIX)}
+
+
+def nested(good: dict[str, tuple[float, int]], entries: int) -> dict[str, float]:
+    """Of prefixes that begin alike, those that cover most and are most exact."""
     kept: dict[str, float] = {}
     for p in sorted(good, key=lambda p: (len(p), p)):
         shorter = [p[:k] for k in PREFIX if k < len(p) and p[:k] in kept]
@@ -227,8 +250,7 @@ def shaped(features: np.ndarray) -> np.ndarray:
 
 def train(sample: DataFrame) -> tuple[Lexicon, np.ndarray]:
     sample = stage(sample, "toxic-texts")
-    prefixes = learnt_prefixes(sample)
-    lexicon = Lexicon(dict.fromkeys(INSULTS, 2.0), prefixes)
+    lexicon = Lexicon(dict.fromkeys(INSULTS, 2.0), *learnt(sample))
     found = sample.mapInArrow(featured(lexicon), "y int, features array<double>")
     # the same features come again and again: rounded, they are few
     rows = found.select("y", F.transform("features", lambda v: F.round(v, 1)).alias("f")).groupBy("y", "f").agg(F.count("*").alias("n")).collect()  # at most SAMPLE rows
@@ -240,10 +262,10 @@ def train(sample: DataFrame) -> tuple[Lexicon, np.ndarray]:
 
 
 def featured(lexicon: Lexicon):
-    words, prefixes = lexicon.words, lexicon.prefixes
+    entries = (lexicon.words, lexicon.prefixes, lexicon.stems)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Lexicon(words, prefixes)
+        own = Lexicon(*entries)
         for batch in batches:
             features = [own.features(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(features, pa.list_(pa.float64()))], names=["y", "features"])
@@ -253,12 +275,12 @@ def featured(lexicon: Lexicon):
 
 def scored(docs: DataFrame, lexicon: Lexicon, layer: np.ndarray, text: str = "text") -> DataFrame:
     """docs with a column __score; all their columns are kept."""
-    words, prefixes = lexicon.words, lexicon.prefixes
+    entries = (lexicon.words, lexicon.prefixes, lexicon.stems)
     schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
     at = docs.columns.index(text)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Lexicon(words, prefixes)
+        own = Lexicon(*entries)
         for batch in batches:
             features = np.array([own.features(t.as_py() or "") for t in batch.column(at)]).reshape(-1, 5)
             score = 1 / (1 + np.exp(-np.clip(shaped(features) @ layer, -30, 30)))
