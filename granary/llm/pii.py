@@ -380,7 +380,8 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with personal data in the text replaced by its type; null text stays null, other columns as they are."""
     bound_batches(docs.sparkSession)
     weights = trained().weights
-    at = docs.columns.index(text)
+    names = docs.columns
+    at = names.index(text)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = Field(weights)
@@ -388,6 +389,6 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
             texts = [None if t is None else masked(t, find(t, field)) for t in batch.column(at).to_pylist()]
             columns = list(batch.columns)
             columns[at] = pa.array(texts, batch.column(at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.mapInArrow(made, docs.schema)
