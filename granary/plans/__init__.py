@@ -1,11 +1,34 @@
-"""Registered queries and their SQL twins."""
+"""Registered queries, each with its SQL twin where SQL can express it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
 
-def oracle_sql() -> dict:
-    return {}
+
+def query(name: str, sql: str | None = None) -> Callable:
+    def register(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        _QUERIES[name] = function
+        if sql is not None:
+            _SQL[name] = sql
+        return function
+
+    return register
+
+
+def _loaded() -> None:
+    from granary.plans import engine, retail  # noqa: F401
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _loaded()
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _loaded()
+    return dict(_SQL)
