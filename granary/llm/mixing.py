@@ -2,7 +2,8 @@
 
 Every source is a queue of its documents in a shuffled order that only their ids decide. A copy's virtual finish
 time is the words its source has sent when it ends, divided by the source's target; a queue may be sent up to
-`repeats` times over. All copies are range-sorted by finish time and the mix is truncated at the total budget.
+`repeats` times over. All copies are range-sorted by finish time and the mix is truncated at the total
+budget, and each source where a copy would lie mostly beyond its own target.
 
 A document's fate follows from its place in its source's order, so the decision is one row for each source (whole
 passes, and the last place of the pass that was cut), joined to the documents; no text is shuffled.
@@ -64,6 +65,10 @@ def plan(docs: DataFrame, text: str = "text", source: str = "source", doc_id: st
     queue = queue.join(targets, same(queue, targets, "source")).select(queue.source, "place", "doc", "size", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("pass"), "sent", "source_size", "target").where("size > 0 and target > 0")
     queue = queue.withColumn("finish", (F.col("sent") + (F.col("pass") - 1) * F.col("source_size")) / F.col("target"))
 
+    # a source's own share ends at virtual time 1: a copy across it belongs to the mix if its first half does, so what one source
+    # can't take in whole documents isn't handed to the others
+    queue = queue.where("finish - size / (2 * target) <= 1")
+
     order = ["finish", "source", "pass", "place", "doc"]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = stage(queue.select(*order, "size").repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "mix-queue")
