@@ -254,8 +254,8 @@ def train(sample: DataFrame) -> tuple[Lexicon, np.ndarray]:
     found = sample.mapInArrow(featured(lexicon), "y int, features array<double>")
     # the same features come again and again: rounded, they are few
     rows = found.select("y", F.transform("features", lambda v: F.round(v, 1)).alias("f")).groupBy("y", "f").agg(F.count("*").alias("n")).collect()  # at most SAMPLE rows
-    if not rows:
-        return lexicon, PRIOR
+    if len({r.y for r in rows}) < 2:
+        return lexicon, PRIOR  # one kind alone teaches nothing
     rows.sort(key=lambda r: (r.y, r.f))
     x, y, n = shaped(np.array([r.f for r in rows])), np.array([r.y for r in rows], float), np.array([r.n for r in rows])
     return lexicon, logistic(np.repeat(x, n, axis=0), np.repeat(y, n), PRIOR)
