@@ -55,6 +55,18 @@ def checks(spark: SparkSession, d: str, stock: str = "part") -> DataFrame:
     return audit.exploded(audit.audit(retail_view(spark, d, stock), RUN_DATE), "InvoiceNo", "StockCode", "Quantity", "record_type", "channel")
 
 
+def one_rule(spark: SparkSession, d: str, rule: str) -> DataFrame:
+    """Checks of one rule, from its own family of checks alone."""
+    rows = typed(spark, d)
+    if rule in audit.DATA_RULES:
+        rows, column = audit.data_checks(rows), "data_results"
+    elif rule.endswith("_deviation"):
+        rows, column = audit.deviation_checks(rows), "deviation_results"
+    else:
+        rows, column = audit.operational_checks(rows), "operational_results"
+    return rows.select(F.explode(column).alias("c")).select("c.*").where(F.col("rule") == rule)
+
+
 def assessed(spark: SparkSession, d: str) -> DataFrame:
     return orders.assess_orders(retail_view(spark, d), ORDER_DATE)
 
@@ -293,8 +305,7 @@ def keyword_context(spark: SparkSession, d: str) -> DataFrame:
 def _per_rule(rule: str) -> None:
     @query(f"rule_{rule}", f"WITH {sql.checks()} SELECT status, reason, severity, count(*) AS rows, {dec('sum(CASE WHEN severity IS NOT NULL THEN CAST(value_at_risk AS DECIMAL(18,2)) END)', 2)} AS value, {dec('sum(CAST(observed_value AS DECIMAL(18,6)))', 2)} AS observed FROM checks WHERE rule = '{rule}' GROUP BY ALL")
     def one(spark: SparkSession, d: str) -> DataFrame:
-        found = checks(spark, d).where(F.col("rule") == rule)
-        return found.groupBy("status", "reason", "severity").agg(F.count("*").alias("rows"), num(F.sum(F.when(F.col("severity").isNotNull(), F.col("value_at_risk")).cast("decimal(18,2)")), 2).alias("value"), num(F.sum(F.col("observed_value").cast("decimal(18,6)")), 2).alias("observed"))
+        return one_rule(spark, d, rule).groupBy("status", "reason", "severity").agg(F.count("*").alias("rows"), num(F.sum(F.when(F.col("severity").isNotNull(), F.col("value_at_risk")).cast("decimal(18,2)")), 2).alias("value"), num(F.sum(F.col("observed_value").cast("decimal(18,6)")), 2).alias("observed"))
 
 
 for _rule in audit.RULES:
