@@ -102,9 +102,12 @@ class Store:
     def read(self, table: str, manifest: dict | None = None) -> DataFrame:
         manifest = manifest or self.manifest()
         if table == "transactions":
-            return self.spark.read.option("mergeSchema", "false").parquet(*manifest["transactions"]).drop("transaction_date", "_customer_bucket")
+            return self._transactions(manifest).drop("_customer_bucket")
         return self.spark.read.parquet(*sorted(set(manifest[table].values()))).drop("_customer_bucket")
 
+    def _transactions(self, manifest: dict) -> DataFrame:
+        return self.spark.read.option("basePath", self.files.at("transactions")).parquet(*manifest["transactions"]).drop("generation", "transaction_date")
+
     # ---------------------------------------------------------------------------------- ingest
 
     def ingest(self, transactions: DataFrame, batch_id: str, run_date: str, initialize: bool = False, buckets: int | None = None) -> dict:
@@ -148,17 +151,18 @@ class Store:
             return manifest
 
     def _write(self, incoming: DataFrame, old: dict | None, n: int, version: str) -> dict:
-        generation = self.files.at("generations", f"{version}_{uuid.uuid4().hex}")
+        name = f"{version}_{uuid.uuid4().hex}"
+        generation = self.files.at("generations", name)
         bucket = F.pmod(F.xxhash64("CustomerID"), F.lit(n)).cast("int")
         tagged = incoming.withColumn("_customer_bucket", bucket)
         touched = sorted(r[0] for r in tagged.select("_customer_bucket").distinct().collect())  # at most n
         rows = tagged
         if old:
-            stored = self.spark.read.parquet(*old["transactions"]).drop("transaction_date").where(F.col("_customer_bucket").isin(touched)).select(*tagged.columns)
+            stored = self._transactions(old).where(F.col("_customer_bucket").isin(touched)).select(*tagged.columns)
             rows = novel_rows(tagged, stored)
-        novel = f"{generation}/transactions"
+        novel = self.files.at("transactions", f"generation={name}")
         rows.withColumn("transaction_date", F.to_date("InvoiceDate")).repartition("_customer_bucket", "transaction_date").write.partitionBy("_customer_bucket", "transaction_date").mode("errorifexists").parquet(novel)
-        delta = self.spark.read.schema(tagged.schema).option("basePath", novel).parquet(novel) if not rows.isEmpty() else self.spark.createDataFrame([], tagged.schema)
+        delta = self.spark.read.schema(tagged.schema).parquet(novel)
         state, invoices = customer_state(delta), known_invoices(delta)
         if old:
             own = F.pmod(F.xxhash64("CustomerID"), F.lit(n)).isin(touched)

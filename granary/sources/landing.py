@@ -18,7 +18,13 @@ SCHEMA_VERSION = 1
 UNDATED = "undated"
 
 
+#: Encodings that Spark reads without being told to take any that Java has.
+USUAL = ("iso-8859-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "utf-32", "utf-8")
+
+
 def texts(spark: SparkSession, path: str | list[str], encoding: str) -> DataFrame:
+    if encoding.lower() not in USUAL:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     options = {"header": True, "mode": "FAILFAST", "multiLine": True, "escape": '"', "quote": '"', "encoding": encoding, "enforceSchema": False}
     return spark.read.schema(", ".join(f"{c} string" for c in COLUMNS)).options(**options).csv(path)
 
