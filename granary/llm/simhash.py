@@ -214,12 +214,17 @@ def around(fps: DataFrame, radius: int) -> DataFrame:
     return every.join(low, "key").where("fp != low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
 
 
+def roots(rows: DataFrame, radius: int = 4) -> DataFrame:
+    """rows: doc_id, fp. fp, first (its smallest id), root (the same for all fingerprints of a group) of every different fingerprint."""
+    first = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fp-first")
+    found = components(links(first.select("fp"), radius)).toDF("fp", "root")
+    return first.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fp, component_id of every row of docs."""
     rows = stage(fingerprints(docs, text, doc_id, width), "fps")
-    first = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fp-first")
-    found = components(links(first.select("fp"), radius)).toDF("fp", "root")
-    rooted = first.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = roots(rows, radius)
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(lowest, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -234,11 +239,34 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return grouped(docs, text, doc_id, width, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def marked(docs: DataFrame, text: str, width: int) -> DataFrame:
+    """docs with a column __fp, the fingerprint; all their columns are kept."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])
+    at = docs.columns.index(text)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(t.as_py() or "", width) for t in batch.column(at)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names=schema.names)
+
+    return docs.mapInArrow(made, schema)
+
+
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, radius: int = 4) -> DataFrame:
-    """One row of each group of near-duplicates: the one with the group's smallest id (any one of those that share it)."""
-    kept = grouped(docs, text, doc_id, width, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = stage(kept.groupBy("doc_id").agg(F.count("*").alias("n")), "kept").toDF("__id", "__n")
-    joined = docs.join(ids, docs[doc_id].eqNullSafe(ids["__id"]))
-    once, again = joined.where("__n = 1"), joined.where("__n > 1")
-    columns = [docs[c] for c in docs.columns]
-    return once.select(*columns).unionByName(again.select(*columns).dropDuplicates([doc_id]))
+    """One row of each group of near-duplicates: the one with the group's smallest id (any one of those that share it and a fingerprint).
+
+    An id that one row bears names that row. Rows of a null id or of an id that comes again are told apart by their fingerprints.
+    """
+    rows = stage(fingerprints(docs, text, doc_id, width), "fps")
+    repeated = stage(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated").toDF("__id")
+    lowest = roots(rows, radius).groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("low"))
+    kept = stage(lowest.select(F.col("low.first").alias("id"), F.col("low.fp").alias("fp")), "kept").toDF("__id", "__fp")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    sole, unsure = kept.where("__id is not null"), docs.where(F.col(doc_id).isNull())
+    if not repeated.isEmpty():
+        sole = sole.join(repeated, "__id", "left_anti")
+        unsure = unsure.unionByName(docs.join(repeated, docs[doc_id] == repeated["__id"], "left_semi"))
+    once = docs.join(sole.select("__id"), docs[doc_id] == sole["__id"]).select(*[docs[c] for c in docs.columns])
+    own = marked(unsure, text, width)
+    again = own.join(kept.toDF("__kept", "__print"), own[doc_id].eqNullSafe(F.col("__kept")) & (own["__fp"] == F.col("__print")))
+    return once.unionByName(again.dropDuplicates([doc_id, "__fp"]).select(*columns))

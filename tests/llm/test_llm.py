@@ -191,6 +191,19 @@ def test_fingerprints_and_groups(docs, rows, none):
     assert kept.count() == len({root(f) for _, f in prints})
 
 
+def test_one_row_of_each_group_is_kept_whatever_its_id(spark):
+    rng = random.Random(8)
+    a, b, c, d, e, f, g, h = (text(rng, 60) for _ in range(8))
+    data = [(None, a), (None, b), (None, c), (None, c)]  # three texts without an id
+    data += [(1, d), (1, e), (7, e)]  # an id on two texts, each the smallest of its group
+    data += [(2, f), (3, f), (3, g), (None, f)]  # 3 is kept for g, not for its copy of f; nor is the null id's
+    data += [(4, h), (4, h), (5, None), (6, "")]
+    kept = simhash.keep_first(spark.createDataFrame(data, "doc_id long, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter([(None, a), (None, b), (None, c), (1, d), (1, e), (2, f), (3, g), (4, h), (5, None)])
+    named = spark.createDataFrame([(1, "one two three", "x"), (2, "one two three", "y")], "key long, body string, __x string")
+    assert [tuple(r) for r in simhash.keep_first(named, "body", "key").collect()] == [(1, "one two three", "x")]
+
+
 @pytest.mark.parametrize("large", [4096, 40])
 def test_crowded_buckets_lose_no_link(spark, large):
     rng = np.random.default_rng(4)
