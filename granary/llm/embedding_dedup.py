@@ -78,7 +78,7 @@ def pairs_in_run(x: np.ndarray, signs: np.ndarray, tables: np.ndarray, apart: np
             yield a[new], b[new]
 
 
-def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = 0.93, recall: float = 0.98, seed: int = 11, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = 0.93, recall: float = 0.999, seed: int = 11, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors: links by cosine >= threshold within a label.
 
     No link: null label, null or zero vector, null or non-finite components. Shorter vectors count as filled up with zeros.

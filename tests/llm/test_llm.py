@@ -140,6 +140,19 @@ def test_vector_links(spark):
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_vector_links_with_the_parameters_of_the_query(spark):
+    rng = np.random.default_rng(12)
+    a, b = rng.standard_normal((2, 2000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    x = np.concatenate([a, 0.9305 * a + math.sqrt(1 - 0.9305**2) * b])  # pairs just over the threshold, where hashing finds fewest
+    near = x @ x.T >= 0.93
+    found = embedding_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()
+    links, want = sum(r.n_links for r in found), int(near.sum()) - len(x)
+    assert 0.997 * want <= links <= want
+
+
 # ---------------------------------------------------------------------------------------------- 3 fingerprints
 
 
