@@ -92,16 +92,17 @@ def best_path(grammar: Transducer, symbols: str) -> str:
     return max((x for s, x in reached.items() if grammar.accepts(s)), key=lambda x: x[0], default=(0.0, symbols))[1]
 
 
-#: Classes read: . other, F filler, N negation, R report, Y target, I insult, H threat.
+#: Classes read: . other, F filler, N negation, R report, Q quotation mark, Y target, I insult, H threat.
 #: Written besides: n, m negated insult, threat; r, q reported ones; t insult with its target, h threat with its target.
-ALPHABET = ".FNRYIH"
+ALPHABET = ".FNRQYIH"
 
 
 @functools.cache
 def grammar() -> Transducer:
     negated = {"I": [("n", 0, 0)], "H": [("m", 0, 0)]}
     negation = Transducer({0: {"N": [("N", 2, 0)], "": [("", 0, 0)]}, 2: negated | {"N": [("N", 2, 0)], "F": [("F", 1, 0)], "": [("", 0, 0)]}, 1: negated | {"N": [("N", 2, 0)], "": [("", 0, 0)]}}, 0)
-    report = Transducer({0: {"R": [("R", 1, 0)], "": [("", 0, 0)]}, 1: {"I": [("r", 1, 0)], "H": [("q", 1, 0)], "": [("", 1, 0)]}}, 0)
+    # 1: after a report, to the clause's end; 2: between quotation marks
+    report = Transducer({0: {"R": [("R", 1, 0)], "Q": [("Q", 2, 0)], "": [("", 0, 0)]}, 1: {"I": [("r", 1, 0)], "H": [("q", 1, 0)], "": [("", 1, 0)]}, 2: {"I": [("r", 2, 0)], "H": [("q", 2, 0)], "R": [("R", 1, 0)], "Q": [("Q", 0, 0)], "": [("", 2, 0)]}}, 0)
     # seen: a target stands before; hoped: an insult counts as aimed, so a target must still follow
     target = Transducer({"none": {"Y": [("Y", "seen", 0)], "I": [("I", "none", 0), ("t", "hoped", 1)], "": [("", "none", 0)]}, "seen": {"I": [("t", "seen", 1)], "": [("", "seen", 0)]}, "hoped": {"Y": [("Y", "seen", 0)], "I": [("t", "hoped", 1)], "": [("", "hoped", 0)]}}, "none", frozenset({"none", "seen"}))
     threat = Transducer({"none": {"H": [(".", "none", 0), ("h", 3, 1)], "": [("", "none", 0)]}, **{k: {"Y": [("Y", "none", 0)], "": [("", k - 1, 0)]} for k in (3, 2)}, 1: {"Y": [("Y", "none", 0)], "": []}}, "none", frozenset({"none"}))
@@ -139,7 +140,7 @@ class Lexicon:
         for w in (*words, *prefixes, *stems, *THREATS):
             self.find.add_word(w, len(w))
         self.find.make_automaton()
-        self.classes = {w: c for c, some in (("F", FILLERS), ("N", NEGATIONS), ("R", [*REPORTS, '"', "“", "”", "«", "»"]), ("Y", TARGETS), ("H", THREATS)) for w in some}
+        self.classes = {w: c for c, some in (("F", FILLERS), ("N", NEGATIONS), ("R", REPORTS), ("Q", '"“”«»'), ("Y", TARGETS), ("H", THREATS)) for w in some}
 
     def weight(self, word: str, active: set[str]) -> float:
         return max([self.words.get(word, 0.0), *(self.prefixes.get(word[:k], 0.0) for k in PREFIX if k <= len(word)), *(self.stems[word[:k]] for k in PREFIX if k < len(word) and word[:k] in active)])

@@ -304,6 +304,17 @@ def test_grammar(read, written):
     assert toxicity.best_path(toxicity.grammar(), read) == written
 
 
+@pytest.mark.parametrize(("read", "written"), [("YQ.QFFII", "YQ.QFFtt"), ("QIQ", "QrQ"), ("QI", "Qr"), ("RQIQI", "RQrQr"), ("QIQI", "QrQI"), ("Q.QHY", "Q.QhY"), ("QHQY", "QqQY")])
+def test_quotation_marks_open_and_close_reported_speech(read, written):
+    assert toxicity.best_path(toxicity.grammar(), read) == written
+
+
+def test_a_quoted_word_does_not_excuse_what_follows():
+    lexicon = toxicity.Lexicon(dict.fromkeys(toxicity.INSULTS, 2.0), {}, {})
+    assert lexicon.features('You "expert" are a worthless idiot and scum').tolist() == [6, 6, 0, 0, 0]
+    assert lexicon.features("You “idiot”").tolist() == [0, 0, 0, 2, 0]
+
+
 def test_toxicity_learns_stems_and_keeps_clean_documents(spark):
     rng = random.Random(6)
     data, labels = [], []
