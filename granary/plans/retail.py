@@ -586,6 +586,13 @@ def flag_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
 
 @query("reversal_candidates", f"WITH {sql.typed('type')}, own AS (SELECT *, abs(Quantity) AS size FROM typed WHERE k_customer IS NOT NULL AND UnitPrice > 0), s AS (SELECT k_stock, UnitPrice, k_customer, size, count(*) AS sold FROM own WHERE NOT cancel AND Quantity > 0 GROUP BY ALL), b AS (SELECT k_stock, UnitPrice, k_customer, size, count(*) AS cancelled FROM own WHERE cancel AND Quantity < 0 GROUP BY ALL) SELECT count(*) AS keys, CAST(coalesce(sum(least(sold, cancelled)), 0) AS BIGINT) AS pairs FROM s JOIN b USING (k_stock, UnitPrice, k_customer, size)")
 def reversal_candidates(spark: SparkSession, d: str) -> DataFrame:
+    rows = typed(spark, d, "type").where(F.col("k_customer").isNotNull() & (F.col("UnitPrice") > 0))
+    return reports.reversal_candidates(rows).agg(F.count("*").alias("keys"), F.coalesce(F.sum(F.least("sold", "cancelled")), F.lit(0)).alias("pairs"))
+
+
+@query("reversal_candidates_all", f"WITH {sql.typed('type')}, own AS (SELECT *, abs(Quantity) AS size FROM typed), s AS (SELECT k_stock, UnitPrice, size, k_customer, count(*) AS sold FROM own WHERE NOT cancel AND Quantity > 0 GROUP BY ALL), b AS (SELECT k_stock, UnitPrice, size, k_customer AS k_returner, count(*) AS cancelled FROM own WHERE cancel AND Quantity < 0 GROUP BY ALL) SELECT count(*) AS keys, CAST(coalesce(sum(least(sold, cancelled)), 0) AS BIGINT) AS pairs FROM s JOIN b USING (k_stock, UnitPrice, size) WHERE k_customer IS NULL OR k_returner IS NULL OR k_customer = k_returner")
+def reversal_candidates_all(spark: SparkSession, d: str) -> DataFrame:
+    """Lines without a customer and prices of 0 or less too."""
     return reports.reversal_candidates(typed(spark, d, "type")).agg(F.count("*").alias("keys"), F.coalesce(F.sum(F.least("sold", "cancelled")), F.lit(0)).alias("pairs"))
 
 
