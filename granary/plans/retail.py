@@ -259,6 +259,16 @@ def novel_rows(spark: SparkSession, d: str) -> DataFrame:
     return found.agg(F.count("*").alias("rows"), F.count_if(F.col("Description").isNull()).alias("undescribed"))
 
 
+@query("novel_rows_by_date", f"WITH {sql.retail()}, a AS (SELECT DISTINCT * FROM retail WHERE InvoiceDate >= TIMESTAMP '1998-06-01'), b AS (SELECT * FROM retail WHERE InvoiceDate < TIMESTAMP '1999-01-01') SELECT count(*) AS rows, count(*) FILTER (Description IS NULL) AS undescribed FROM (SELECT * FROM a EXCEPT SELECT * FROM b)")
+def novel_rows_by_date(spark: SparkSession, d: str) -> DataFrame:
+    """Of two overlapping batches that together hold all rows."""
+    from granary.operators import store
+
+    view = retail_view(spark, d)
+    found = store.novel_rows(view.where(F.col("InvoiceDate") >= "1998-06-01").distinct(), view.where(F.col("InvoiceDate") < "1999-01-01"))
+    return found.agg(F.count("*").alias("rows"), F.count_if(F.col("Description").isNull()).alias("undescribed"))
+
+
 @query("bucket_profile", f"WITH {sql.CUSTOMERS} SELECT CAST(CAST(regexp_replace(CustomerID, 'X', '') AS BIGINT) % 16 AS INT) AS bucket, count(*) AS rows, count(DISTINCT CustomerID) AS customers FROM clean GROUP BY ALL")
 def bucket_profile(spark: SparkSession, d: str) -> DataFrame:
     bucket = F.pmod(F.regexp_replace("CustomerID", "X", "").cast("long"), F.lit(16)).cast("int")
