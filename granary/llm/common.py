@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.sources.staging import drop, stage
+
 #: A word, as every contract here has it: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,27 +20,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="granary-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """df as a written table in the shared folder: computed once, and no lost executor can take it away."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows, so that very long texts don't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Arrow batches of few rows and bytes, so that very long texts don't fill a Python worker.
+
+    The limits are the session's, as plans are read later; they are only ever lowered.
+    """
+    for name, value in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", 8 << 20)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name, None) or "0"
+        if not now.isdigit() or not 0 < int(now) <= value:
+            spark.conf.set(name, str(value))
 
 
 def id_text(column: str | Column) -> Column:
@@ -77,7 +66,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(low, both.a == low.k).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
         small = large.join(low, large.a == low.k).where("b != m").select("b", "m")
-        now = stage(small.union(low.select("k", "m")).toDF("a", "b").distinct(), "cc")
+        old, now = now, stage(small.union(low.select("k", "m")).toDF("a", "b").distinct(), "cc")
+        drop(old)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if mark == before:
             break
