@@ -2,12 +2,14 @@
 
 Four patterns (email, ip, card, phone) give the base spans, which always stay. Between them a semi-Markov field scores candidate
 segments of a line as wholes: their digits and groups, separators, checksum, shape, edges and the words before them, for each type. Dynamic
-programming over segments of bounded length then chooses boundaries and types jointly; what it adds bears types of its own (email_like,
+programming over bounded segments then chooses boundaries and types jointly; what it adds bears types of its own (email_like,
 ip_like, card_like, phone_like, secret), so the base types stay what the patterns say. The field is trained here, by maximum
 likelihood with forward-backward sums over all segmentations, on lines made from a seed: spans in many notations, and look-alikes (dates,
 times, amounts, versions, plain numbers) that are none.
 
-No pattern crosses a line, so only lines that hold a digit, an at sign or its like are looked at.
+What a segment may hold bounds it, not a count of units: 19 digits with three marks between two at most, eight groups of hex digits, a unit
+by itself, or an address written out, however long. Every pattern is matched from the ends of runs, so time follows the line's length
+whatever it holds. No pattern crosses a line, so only lines that hold a digit, an at sign or its like are looked at.
 """
 
 from __future__ import annotations
@@ -40,8 +42,16 @@ KINDS = (*BASE, *ADDED)
 DIGIT = re.compile(r"[0-9]")
 AT = re.compile(r"@|[\[({]\s?at\s?[\])}]|\bat\b.{1,60}?\bdot\b", re.I)
 UNIT = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9\s]")
-#: Units of a segment at most.
-LONGEST = 24
+#: Digits of a segment at most (the longest card number), marks between two of its digits, groups of hex digits.
+DIGITS, MARKS, GROUPS = 19, 3, 8
+#: The email and ip patterns, matched where a run begins; possessive, as no shorter run could match where the whole doesn't.
+LOCAL, DOMAIN = re.compile(r"[A-Za-z0-9._%+-]+"), re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+QUAD = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+#: An address written out: name, at, and labels with dots between.
+DOT = r"(?:\.|\s\.\s|\s?[\[({]\s?dot\s?[\])}]\s?|\s+dot\s+)"
+WRITTEN = re.compile(rf"(?<![A-Za-z0-9])(?<![A-Za-z0-9][._%+-])[A-Za-z0-9]++(?:[._%+-][A-Za-z0-9]++)*+(?:\s?[\[({{]\s?at\s?[\])}}]\s?|\s+at\s+|\s?@\s?)(?P<domain>[A-Za-z0-9]++(?:-[A-Za-z0-9]++)*+(?:{DOT}[A-Za-z0-9]++(?:-[A-Za-z0-9]++)*+)++)", re.I)
+#: Labels of a written address after which it may end; it may always end at its last.
+ENDS = 4
 CUES = {
     "email_like": {"email", "mail", "contact", "write", "correo", "courriel"},
     "ip_like": {"ip", "host", "server", "address", "addr"},
@@ -79,13 +89,25 @@ def suspicious_lines(text: str) -> Iterator[tuple[int, str]]:
         at += len(line) + 1
 
 
+def emails(line: str) -> Iterator[tuple[int, int]]:
+    """The email pattern's matches: one begins where the run before an at sign does, or where the match before it ended."""
+    done = 0
+    for run in LOCAL.finditer(line):
+        at, start = run.end(), max(run.start(), done)
+        if start < at < len(line) and line[at] == "@" and (domain := DOMAIN.match(line, at + 1)):
+            done = domain.end()
+            yield start, done
+
+
 def base_spans(line: str) -> list[tuple[str, int, int]]:
     """The patterns' spans in a line: leftmost, not overlapping within a type; matches that fail their check are dropped."""
     digits = DIGIT.search(line) is not None
     found = []
-    for kind, needs in (("email", "@"), ("ip", "."), ("card", ""), ("phone", "+")):
-        if needs in line and (digits or kind == "email"):
-            found += [(kind, m.start(), m.end()) for m in PATTERNS[kind].finditer(line) if passes(kind, m.group())]
+    if "@" in line:
+        found += [("email", a, b) for a, b in emails(line)]
+    for kind, pattern, needs in (("ip", QUAD, "."), ("card", PATTERNS["card"], ""), ("phone", PATTERNS["phone"], "+")):
+        if digits and needs in line:
+            found += [(kind, m.start(), m.end()) for m in pattern.finditer(line) if passes(kind, m.group())]
     return found
 
 
@@ -104,8 +126,6 @@ def features(line: str, units: list[tuple[int, int]], i: int, j: int) -> list[st
         if len(span) < 16 or not span.isalnum() or not digits:
             return None
         names += ["one", "long unit", "hex" if re.fullmatch(r"[0-9a-fA-F]+", span) and not span.isdigit() else "digits only" if span.isdigit() else "mixed", f"length {min(len(span) // 8, 6)}"]
-        if span.isdigit() and len(span) > 19:
-            return None
     elif "@" in span or "at" in low:
         where = low.index("@") if "@" in span else low.index("at")
         rest = low[where + 1 :]
@@ -141,27 +161,57 @@ def features(line: str, units: list[tuple[int, int]], i: int, j: int) -> list[st
     return [*names, *cues, "no cue"] if not cues else [*names, *cues]
 
 
+def reaches(line: str, units: list[tuple[int, int]], i: int, covered: np.ndarray) -> Iterator[int]:
+    """Last units that a number beginning with unit i may have."""
+    digits = groups = marks = 0
+    colons = line[units[i][1] : units[i][1] + 1] == ":"
+    for j in range(i, len(units)):
+        a, b = units[j]
+        if covered[b] > covered[a] or (j > i and line[a] == "+"):
+            return
+        if not line[a].isalnum():
+            marks += 1
+            if marks > MARKS:
+                return
+            continue
+        marks, groups = 0, groups + 1
+        if not line[a:b].isdigit():
+            if not colons or b - a > 4 or groups > GROUPS:
+                return
+            digits = DIGITS  # letters: only as groups of hex digits
+        digits += b - a
+        if digits > DIGITS and (not colons or groups > GROUPS):
+            return
+        if not (line[b : b + 1] in "-./:" and line[b + 1 : b + 2].isdigit()):  # else the number goes on
+            yield j
+
+
 def candidates(line: str, units: list[tuple[int, int]], fixed: list[tuple[int, int]]) -> list[tuple[int, int, list[str]]]:
-    """Segments (first, last unit, features) that overlap no fixed span."""
-    free = np.ones(len(line) + 1, bool)
+    """Segments (first, last unit, features) that overlap no fixed span, by first and last unit."""
+    taken = np.zeros(len(line) + 1, np.int64)
     for a, b in fixed:
-        free[a:b] = False
-    near_at = {k for k, (a, b) in enumerate(units) if line[a:b].lower() in ("@", "at")}
-    found = []
+        taken[a:b] = 1
+    covered = np.append(0, np.cumsum(taken))
+    starts, lasts = {a: k for k, (a, _) in enumerate(units)}, {b: k for k, (_, b) in enumerate(units)}
+    places: set[tuple[int, int]] = set()
     for i, (a, b) in enumerate(units):
-        first = line[a:b]
-        numeric = first[0].isdigit() or (first in "+(" and i + 1 < len(units) and line[units[i + 1][0]].isdigit()) or (":" in line[b : b + 1])
-        mail = first.isalnum() and any(k in near_at for k in range(i + 1, min(i + 12, len(units))))
-        if not numeric and not mail and not (len(first) >= 16 and DIGIT.search(first)):
+        first = line[a]
+        if covered[b] > covered[a]:
             continue
-        for j in range(i, min(i + LONGEST, len(units))):
-            if not free[units[j][0] : units[j][1]].all():
-                break
-            if not mail and j > i and line[units[j][0] : units[j][1]].isalpha() and ":" not in line[a : units[j][0]]:
-                break
-            names = features(line, units, i, j)
-            if names is not None:
-                found.append((i, j, names))
+        if first.isdigit() and a > 1 and line[a - 1] in "-./:" and line[a - 2].isalnum():
+            continue  # inside a tight run: the number began before
+        if first.isdigit() or (first in "+(" and i + 1 < len(units) and line[units[i + 1][0]].isdigit()) or (first.isalnum() and line[b : b + 1] == ":"):
+            places.update((i, j) for j in reaches(line, units, i, covered))
+        if b - a >= 16 and first.isalnum():
+            places.add((i, i))
+    if AT.search(line):
+        for m in WRITTEN.finditer(line):
+            labels = [u.end() for u in UNIT.finditer(line, m.start("domain"), m.end()) if u.group().isalpha() and u.group().lower() != "dot"]
+            places.update((starts[m.start()], lasts[b]) for b in {*labels[1 : ENDS + 1], m.end()})
+    found = []
+    for i, j in sorted(places):
+        if covered[units[i][0]] == covered[units[j][1]] and (names := features(line, units, i, j)) is not None:
+            found.append((i, j, names))
     return found
 
 
