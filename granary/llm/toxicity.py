@@ -1,15 +1,17 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words map to classes (insult, threat, target, negation, report, filler), each insult with a weight. Four small transducers rewrite a
-clause's classes and are composed into one: negation ("not an idiot"), reported speech (he said: "..."), target (an insult beside
-whom it is meant for) and threat (a threatening verb with a target). The best path through the composition says what each matched
-clause asserts; a document is the sum over its clauses, scaled by a logistic layer. An isolated word in a negated or reported clause weighs
-by its own weights, not as an insult.
-
-Insults come from a fixed list, and from the labels: prefixes of words that stand mostly in toxic documents of the training sample,
-by the lower bound of their log-odds. A prefix can count wherever it stands, or only where longer words that begin with it are dense
+Words map to classes (insult, threat, target, direct address, negation, report, mention, filler), each insult with a weight. Five small
+transducers rewrite a clause's classes and are composed into one: mention ("the word idiot", "stupid is a synonym"), negation ("not an
+idiot"), reported speech (he said: "..."; it ends with the quotation, or where the speaker turns to the reader: "he said you are ..."),
+target (an insult beside whom it is meant for) and threat (a threatening verb with a target). The best path through the composition
+says what each clause asserts; a document is the sum over its clauses, scaled by a logistic layer that learns a weight for each kind of
+assertion. Before labels are seen only matched clauses count: an insult aimed at no one weighs next to nothing, one that is denied,
+reported or only mentioned likewise.
+
+Insults come from fixed lists in four languages, and from the labels: prefixes of words and whole words that stand mostly in toxic documents of
+the training sample, by the lower bound of their log-odds. A prefix can count wherever it stands, or only where longer words that begin with it are dense
 in the document, as a stem that also turns up by chance. The sample is bounded (SAMPLE labelled rows, those of the smallest hashes), and one document stands for
-its near copies, so that their other words aren't learnt. Lexicon and layer are small and bounded; scoring is one pass over the texts.
+its near copies, so that their other words aren't learnt. All entries that pass are kept; scoring is one pass over the texts.
 """
 
 from __future__ import annotations
@@ -28,18 +30,23 @@ from pyspark.sql import types as T
 
 from granary.llm.common import bound_batches, fold, id_text, stage
 
-#: Labelled rows that are learnt from, at most; learnt entries of the lexicon, at most.
-SAMPLE, ENTRIES = 30_000, 500
-#: Lengths of prefixes that can be learnt; a dense one stands twice at least, and once in so many words.
+#: Labelled rows that are learnt from, at most.
+SAMPLE = 30_000
+#: Lengths of prefixes that can be learnt (longer entries are whole words); a dense one stands twice at least, and once in so many words.
 PREFIX, SPARSE = range(3, 11), 160
-# Common English words of each class.
+# Common words of each class, English, German, French and Spanish.
 INSULTS = """idiot moron imbecile stupid dumb dumbass fool loser scum trash garbage pathetic worthless disgusting clown jerk bastard bitch
-asshole cretin dimwit halfwit pig vermin freak creep filth slut whore retard retarded degenerate subhuman ugly coward scumbag dirtbag""".split()
-THREATS = "kill murder hurt destroy stab shoot strangle beat hang burn rape".split()
-TARGETS = "you your yours yourself u ya he she they him her them his their these those people everyone".split()
-NEGATIONS = "not no never isn't aren't wasn't weren't don't doesn't nor without neither".split()
-REPORTS = "said says say saying wrote writes told tells called calls calling claimed quoted quote reported reportedly according".split()
-FILLERS = "a an the such so very really quite even just at all any be being been is are was were".split()
+asshole cretin dimwit halfwit pig vermin freak creep filth slut whore retard retarded degenerate subhuman ugly coward scumbag dirtbag
+trottel vollidiot dummkopf arschloch hurensohn abschaum versager schwachkopf miststück wichser missgeburt
+connard connasse salaud salope abruti débile ordure enculé pourriture minable crétin imbécile
+imbécil estúpido estúpida gilipollas cabrón escoria basura asqueroso asquerosa patético patética inútil hijueputa""".split()
+THREATS = "kill murder hurt destroy stab shoot strangle beat hang burn rape töte töten umbringen erschlagen tuer tuerai frapper brûler matar mataré matarte golpear".split()
+DIRECT = "you your yours yourself u ya du dich dir dein deine ihr euch tu te toi vous votre ton ta tú ti vosotros usted ustedes eres".split()
+TARGETS = "he she they him her them his their these those people everyone er sie ihn ihm ihnen diese alle il elle ils elles lui leur ces él ella ellos ellas".split()
+NEGATIONS = "not no never isn't aren't wasn't weren't don't doesn't nor without neither nicht kein keine keiner nie niemals ohne pas jamais sans aucun nunca jamás sin ningún".split()
+REPORTS = "said says say saying wrote writes told tells called calls calling claimed quoted quote reported reportedly according sagte sagt schrieb behauptete nannte dit disait écrit écrivit selon dijo dice escribió llamó según".split()
+MENTIONS = "word words term terms synonym synonyms noun adjective spelling definition meaning wort wörter begriff begriffe bedeutung mot mots terme termes synonyme palabra palabras término términos sinónimo".split()
+FILLERS = "a an the such so very really quite even just at all any be being been is are was were ein eine der die das ist sind so sehr un une le la les est sont très una el los las es son muy".split()
 CLAUSE = re.compile(r"[.!?;:\n\r]+")
 TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)*|[\"“”«»]")
 
@@ -92,30 +99,38 @@ def best_path(grammar: Transducer, symbols: str) -> str:
     return max((x for s, x in reached.items() if grammar.accepts(s)), key=lambda x: x[0], default=(0.0, symbols))[1]
 
 
-#: Classes read: . other, F filler, N negation, R report, Q quotation mark, Y target, I insult, H threat.
-#: Written besides: n, m negated insult, threat; r, q reported ones; t insult with its target, h threat with its target.
-ALPHABET = ".FNRQYIH"
+#: Classes read: . other, F filler, M mention, N negation, R report, Q quotation mark, U direct address, Y other target, I insult, H threat.
+#: Written besides: x mentioned insult; n, m negated insult, threat; r, q reported ones; t insult with its target, h threat with its target.
+ALPHABET = ".FMNRQUYIH"
 
 
 @functools.cache
 def grammar() -> Transducer:
+    # m2, m1: just after a mention; h3 to h1: an insult counts as mentioned, so a mention must still follow
+    plain = {"I": [("I", "none", 0), ("x", "h3", 0.5)], "M": [("M", "m2", 0)], "": [("", "none", 0)]}
+    after = {"I": [("x", "none", 0.5)], "M": [("M", "m2", 0)]}
+    hoped = {k: {"F": [("F", f"h{int(k[1]) - 1}", 0)], "M": [("M", "m2", 0)], "": []} for k in ("h3", "h2")}
+    mention = Transducer({"none": plain, "m2": after | {"": [("", "m1", 0)]}, "m1": after | {"": [("", "none", 0)]}, **hoped, "h1": {"M": [("M", "m2", 0)], "": []}}, "none", frozenset({"none", "m1", "m2"}))
     negated = {"I": [("n", 0, 0)], "H": [("m", 0, 0)]}
     negation = Transducer({0: {"N": [("N", 2, 0)], "": [("", 0, 0)]}, 2: negated | {"N": [("N", 2, 0)], "F": [("F", 1, 0)], "": [("", 0, 0)]}, 1: negated | {"N": [("N", 2, 0)], "": [("", 0, 0)]}}, 0)
-    # 1: after a report, to the clause's end; 2: between quotation marks
-    report = Transducer({0: {"R": [("R", 1, 0)], "Q": [("Q", 2, 0)], "": [("", 0, 0)]}, 1: {"I": [("r", 1, 0)], "H": [("q", 1, 0)], "": [("", 1, 0)]}, 2: {"I": [("r", 2, 0)], "H": [("q", 2, 0)], "R": [("R", 1, 0)], "Q": [("Q", 0, 0)], "": [("", 2, 0)]}}, 0)
+    # 1: after a report, until the reader is addressed; 2: between quotation marks; 3: between those of a report
+    told = {k: {"I": [("r", k, 0)], "H": [("q", k, 0)], "": [("", k, 0)]} for k in (1, 2, 3)}
+    report = Transducer({0: {"R": [("R", 1, 0)], "Q": [("Q", 2, 0)], "": [("", 0, 0)]}, 1: told[1] | {"U": [("U", 0, 0)], "Q": [("Q", 3, 0)]}, 2: told[2] | {"R": [("R", 3, 0)], "Q": [("Q", 0, 0)]}, 3: told[3] | {"Q": [("Q", 1, 0)]}}, 0)
     # seen: a target stands before; hoped: an insult counts as aimed, so a target must still follow
-    target = Transducer({"none": {"Y": [("Y", "seen", 0)], "I": [("I", "none", 0), ("t", "hoped", 1)], "": [("", "none", 0)]}, "seen": {"I": [("t", "seen", 1)], "": [("", "seen", 0)]}, "hoped": {"Y": [("Y", "seen", 0)], "I": [("t", "hoped", 1)], "": [("", "hoped", 0)]}}, "none", frozenset({"none", "seen"}))
-    threat = Transducer({"none": {"H": [(".", "none", 0), ("h", 3, 1)], "": [("", "none", 0)]}, **{k: {"Y": [("Y", "none", 0)], "": [("", k - 1, 0)]} for k in (3, 2)}, 1: {"Y": [("Y", "none", 0)], "": []}}, "none", frozenset({"none"}))
-    found = negation
-    for following in (report, target, threat):
+    met = {c: [(c, "seen", 0)] for c in "UY"}
+    target = Transducer({"none": met | {"I": [("I", "none", 0), ("t", "hoped", 1)], "": [("", "none", 0)]}, "seen": {"I": [("t", "seen", 1)], "": [("", "seen", 0)]}, "hoped": met | {"I": [("t", "hoped", 1)], "": [("", "hoped", 0)]}}, "none", frozenset({"none", "seen"}))
+    at = {c: [(c, "none", 0)] for c in "UY"}
+    threat = Transducer({"none": {"H": [(".", "none", 0), ("h", 3, 1)], "": [("", "none", 0)]}, **{k: at | {"": [("", k - 1, 0)]} for k in (3, 2)}, 1: at | {"": []}}, "none", frozenset({"none"}))
+    found = mention
+    for following in (negation, report, target, threat):
         found = compose(found, following, ALPHABET)
     return found
 
 
-#: Sums of what a document's clauses assert that a symbol adds to: insults, of these the aimed ones, negated, reported, threats.
-KINDS = {"I": (0,), "t": (0, 1), "n": (2,), "m": (2,), "r": (3,), "q": (3,), "h": (4,)}
-#: The layer before any label is seen: bias, then each kind's sum.
-PRIOR = np.array([-3.0, 2.0, 0.8, 0.1, 0.2, 1.2])
+#: Sums of what a document's clauses assert that a symbol adds to: insults, of these the aimed ones, denied or only mentioned, reported, threats.
+KINDS = {"I": (0,), "t": (0, 1), "n": (2,), "m": (2,), "x": (2,), "r": (3,), "q": (3,), "h": (4,)}
+#: The layer before any label is seen: bias, then each kind's sum. Insults aimed at no one add next to nothing.
+PRIOR = np.array([-3.0, 0.2, 2.6, 0.1, 0.1, 6.0])
 
 
 def dense(words: list[str], stems: set[str] | None = None) -> set[str]:
@@ -137,10 +152,10 @@ class Lexicon:
 
         self.words, self.prefixes, self.stems = words, prefixes, stems
         self.find = ahocorasick.Automaton()
-        for w in (*words, *prefixes, *stems, *THREATS):
+        for w in {*words, *prefixes, *stems, *THREATS}:
             self.find.add_word(w, len(w))
         self.find.make_automaton()
-        self.classes = {w: c for c, some in (("F", FILLERS), ("N", NEGATIONS), ("R", REPORTS), ("Q", '"“”«»'), ("Y", TARGETS), ("H", THREATS)) for w in some}
+        self.classes = {w: c for c, some in (("F", FILLERS), ("N", NEGATIONS), ("M", MENTIONS), ("R", REPORTS), ("Q", '"“”«»'), ("Y", TARGETS), ("U", DIRECT), ("H", THREATS)) for w in some}
 
     def weight(self, word: str, active: set[str]) -> float:
         return max([self.words.get(word, 0.0), *(self.prefixes.get(word[:k], 0.0) for k in PREFIX if k <= len(word)), *(self.stems[word[:k]] for k in PREFIX if k < len(word) and word[:k] in active)])
@@ -190,15 +205,16 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, text: str, d
     return own.join(F.broadcast(chosen.select("doc_id", "y")), "doc_id").select("text", "y")  # at most `limit` ids
 
 
-def learnt(sample: DataFrame, entries: int = ENTRIES) -> tuple[dict[str, float], dict[str, float]]:
-    """Prefixes and stems by the lower bound of their log-odds of toxic documents, where it is high."""
+def learnt(sample: DataFrame) -> tuple[dict[str, float], dict[str, float], dict[str, float]]:
+    """Words, prefixes and stems by the lower bound of their log-odds of toxic documents, where it is high; the sample bounds their number."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = TOKEN.findall(text.lower())
-                rows.append((family(words), y, sorted({w[:k] for w in set(words) for k in PREFIX if k <= len(w)} | {p + "+" for p in dense(words)})))
+                own = {w[:k] for w in set(words) for k in PREFIX if k <= len(w)} | {w + "=" for w in words if len(w) > PREFIX[-1]}
+                rows.append((family(words), y, sorted(own | {p + "+" for p in dense(words)})))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.list_(pa.string())), strict=True)], names=["family", "y", "prefixes"])
 
@@ -206,19 +222,21 @@ def learnt(sample: DataFrame, entries: int = ENTRIES) -> tuple[dict[str, float],
     documents = stage(documents, "toxic-sample")
     n = {r.y: r.n for r in documents.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
-        return {}, {}
+        return {}, {}, {}
     counts = documents.select(F.explode("prefixes").alias("prefix"), "y").groupBy("prefix").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     odds = F.log((F.col("a") + 0.5) / (n[1] + 1)) - F.log((F.col("b") + 0.5) / (n[0] + 1))
     low = odds - F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
     stem = F.endswith("prefix", F.lit("+"))
     good = counts.withColumn("low", low).where(F.when(stem, (F.col("a") >= 3) & (F.col("low") >= 2.4)).otherwise((F.col("a") >= 5) & (F.col("low") >= 2.5) & (F.col("b") <= 0.02 * F.col("a"))))
-    found = good.orderBy(F.desc("low"), "prefix").limit(8 * entries).collect()
-    prefixes = nested({r.prefix: (r.low, r.a) for r in found if not r.prefix.endswith("+")}, entries)
-    stems = nested({r.prefix[:-1]: (r.low, r.a) for r in found if r.prefix.endswith("+")}, entries)
-    return prefixes, {p: w for p, w in stems.items() if not any(p[:k] in prefixes for k in PREFIX)}
+    found = {r.prefix: (r.low, r.a) for r in good.collect()}
+    prefixes = nested({p: x for p, x in found.items() if p[-1] not in "+="})
+    covered = lambda w: any(w[:k] in prefixes for k in PREFIX)
+    stems = nested({p[:-1]: x for p, x in found.items() if p[-1] == "+"})
+    words = {p[:-1]: float(x[0]) for p, x in found.items() if p[-1] == "="}
+    return {w: x for w, x in words.items() if not covered(w)}, prefixes, {p: x for p, x in stems.items() if not covered(p)}
 
 
-def nested(good: dict[str, tuple[float, int]], entries: int) -> dict[str, float]:
+def nested(good: dict[str, tuple[float, int]]) -> dict[str, float]:
     """Of prefixes that begin alike, those that cover most and are most exact."""
     kept: dict[str, float] = {}
     for p in sorted(good, key=lambda p: (len(p), p)):
@@ -229,7 +247,7 @@ def nested(good: dict[str, tuple[float, int]], entries: int) -> dict[str, float]
             if good[p][1] >= 0.95 * good[q][1]:
                 kept.pop(q)  # the longer one covers the same and is more exact
         kept[p] = float(good[p][0])
-    return dict(sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:entries])
+    return kept
 
 
 def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -251,7 +269,8 @@ def shaped(features: np.ndarray) -> np.ndarray:
 
 def train(sample: DataFrame) -> tuple[Lexicon, np.ndarray]:
     sample = stage(sample, "toxic-texts")
-    lexicon = Lexicon(dict.fromkeys(INSULTS, 2.0), *learnt(sample))
+    words, prefixes, stems = learnt(sample)
+    lexicon = Lexicon(words | dict.fromkeys(INSULTS, 2.0), prefixes, stems)
     found = sample.mapInArrow(featured(lexicon), "y int, features array<double>")
     # the same features come again and again: rounded, they are few
     rows = found.select("y", F.transform("features", lambda v: F.round(v, 1)).alias("f")).groupBy("y", "f").agg(F.count("*").alias("n")).collect()  # at most SAMPLE rows
@@ -303,7 +322,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", tex
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs that score below the threshold."""
+    """The rows of docs that score below the threshold, with all their columns.
+
+    Null and empty texts stay; repeated rows stay or go together; labels as in score_toxicity; no rows give no rows.
+    """
     bound_batches(docs.sparkSession)
     lexicon, layer = train(training_sample(docs, labels, label, text, doc_id, sample))
     return scored(docs, lexicon, layer, text).where(F.col("__score") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
