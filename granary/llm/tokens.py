@@ -79,23 +79,24 @@ class Counter:
             overlap, spliced = self.overlap, False
             while not spliced:
                 start = hi - overlap
-                if start <= done:  # no stable boundary in all of the chunk: lengthen it
-                    hi = min(len(text), hi + self.chunk)
+                if start <= done:  # no stable boundary in all of the chunk: double it, so that all of this takes linear time
+                    hi = min(len(text), lo + 2 * (hi - lo))
                     ends = self.ends(text[lo:hi], lo)
                     if hi == len(text):
                         break
                     overlap = self.overlap
                     continue
-                stop = min(len(text), start + self.chunk + overlap)
-                after = self.ends(text[start:stop], start)
-                common = set(ends).intersection(after)
-                for b in range(hi - 1, start, -1):
-                    if b in common and self.stable(text, b):
+                places = [b for b in range(hi - 1, start, -1) if self.stable(text, b)]
+                if places:  # else there is nothing to encode for
+                    stop = min(len(text), start + self.chunk + overlap)
+                    after = self.ends(text[start:stop], start)
+                    common = set(ends).intersection(after)
+                    b = next((b for b in places if b in common), None)
+                    if b is not None:
                         total += sum(done < e <= b for e in ends)
                         lo, done, hi, ends, spliced = start, b, stop, after, True
-                        break
-                else:
-                    overlap *= 2
+                        continue
+                overlap *= 2
         return total + sum(e > done for e in ends)
 
     def __call__(self, texts: list[str]) -> list[int]:
