@@ -107,10 +107,14 @@ def plan(counts: np.ndarray, size: int) -> np.ndarray:
 
     there = left > 0
     there[0] = False
-    pairs = np.convolve(there.astype(np.int64), there.astype(np.int64))  # ordered pairs of lengths there, by sum
+    # the index: ordered pairs and triples of lengths that are there, by sum
+    pairs = np.convolve(there.astype(np.int64), there.astype(np.int64))
+    triples = np.convolve(pairs, there.astype(np.int64))
 
     def gone(length: int) -> None:
-        nonlocal there
+        triples[length : length + len(pairs)] -= 3 * pairs
+        triples[2 * length : 2 * length + size + 1] += 3 * there
+        triples[3 * length] -= 1
         there[length] = False
         pairs[length : length + size + 1] -= 2 * there
         pairs[2 * length] -= 1
@@ -126,10 +130,12 @@ def plan(counts: np.ndarray, size: int) -> np.ndarray:
             return ()
         if there[gap] and enough(gap):
             return (gap,)
-        half = np.arange(gap - 1, (gap + 1) // 2 - 1, -1)
+        half = np.arange(gap - 1, (gap + 1) // 2 - 1, -1) if pairs[gap] else np.zeros(0, np.int64)
         for a in half[there[half] & there[gap - half]].tolist():
             if enough(a, gap - a):
                 return (a, gap - a)
+        if not triples[gap]:
+            return None
         third = np.arange(gap - 2, (gap + 2) // 3 - 1, -1)
         for a in third[there[third] & (pairs[gap - third] > 0)].tolist():
             rest = gap - a
