@@ -8,7 +8,8 @@ nearest codeword within radius 4. Of 4 errors over three segments, the two segme
 * none and two at most: keys (one segment as it is, a codeword index of another within radius 4), or
 * one each: keys (nearest codeword index of one, a codeword index of the other within radius 4), both ways round,
 
-which is some 61 keys for a fingerprint. Fingerprints that share a key are compared; each bucket yields a spanning forest of
+which is some 61 keys for a fingerprint. The second kind has 24 bits; from WIDE fingerprints on it also bears a codeword index of the
+third segment within radius 4 (its errors are two at most), 36 bits and some 185 keys, and finds the same links. Fingerprints that share a key are compared; each bucket yields a spanning forest of
 its links, never all pairs. In a bucket too large to compare, all fingerprints give every word within 2 bits of
 them instead, and those that share a word (they are linked, with no need to compare) link to the smallest: linear and exact.
 Texts are reduced to different fingerprints first, so copies, however many, are one node.
@@ -35,6 +36,8 @@ SHIFTS = (42, 21, 0)
 GENERATOR = 0b110001110101
 #: Fingerprints of a bucket that are compared with each other; beyond it the words around them are joined.
 LARGE_BUCKET = 4096
+#: Different fingerprints from which keys are wide: buckets of 24 bits would hold a few hundred by chance.
+WIDE = 1 << 27
 
 
 # ---------------------------------------------------------------------------------------------- fingerprints
@@ -107,7 +110,7 @@ def golay() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return upper, lower, change, several
 
 
-def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def keys_of(fps: np.ndarray, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The keys of fingerprints (unsigned 64 bits), and which fingerprint each belongs to."""
     upper, lower, change, several = golay()
     segments = [(fps >> np.uint64(s)).astype(np.int64) & ((1 << w) - 1) for s, w in zip(SHIFTS, WIDTHS, strict=True)]
@@ -130,8 +133,13 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 add(segments[i][:, None], lists[j], there[j])
                 kind += 1
     for i, j in combinations(range(3), 2):
-        add(lists[i][:, :1], lists[j], there[j])
-        add(lists[i][:, 1:], lists[j][:, :1], there[i][:, 1:])
+        k = 3 - i - j
+        for of_i, of_j, valid in ((lists[i][:, :1], lists[j], there[j]), (lists[i][:, 1:], lists[j][:, :1], there[i][:, 1:])):
+            if wide:
+                both = (of_i << 12) | of_j
+                add(both[:, :, None], lists[k][:, None, :], valid[:, :, None] & there[k][:, None, :])
+            else:
+                add(of_i, of_j, valid)
         kind += 1
     return np.concatenate(keys), np.concatenate(owners)
 
@@ -140,11 +148,11 @@ KEYED = T.StructType([T.StructField("key", T.LongType()), T.StructField("fp", T.
 EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def keyed(batches: Iterator[pa.RecordBatch], wide: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fps = batch.column(0).to_numpy()
         for i in range(0, len(fps), 20_000):
-            keys, owners = keys_of(fps[i : i + 20_000].view(np.uint64))
+            keys, owners = keys_of(fps[i : i + 20_000].view(np.uint64), wide)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[i : i + 20_000][owners])], names=["key", "fp"])
 
 
@@ -172,9 +180,10 @@ def links_in_runs(fps: np.ndarray, starts: np.ndarray, lengths: np.ndarray, radi
     return np.concatenate([np.zeros(0, np.int64), *found_a]), np.concatenate([np.zeros(0, np.int64), *found_b])
 
 
-def links(fps: DataFrame, radius: int = 4, large: int = LARGE_BUCKET) -> DataFrame:
+def links(fps: DataFrame, radius: int = 4, large: int = LARGE_BUCKET, wide: int = WIDE) -> DataFrame:
     """fps: fp, all different. Edges a, b that connect whatever the links connect; each is itself a link."""
-    keys = fps.mapInArrow(keyed, KEYED)
+    many = fps.count() >= wide
+    keys = fps.mapInArrow(lambda batches: keyed(batches, many), KEYED)
     crowded = stage(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > large).select("key"), "crowded")
     extra = None
     if not crowded.isEmpty():
@@ -255,18 +264,23 @@ def marked(docs: DataFrame, text: str, width: int) -> DataFrame:
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, radius: int = 4) -> DataFrame:
     """One row of each group of near-duplicates: the one with the group's smallest id (any one of those that share it and a fingerprint).
 
-    An id that one row bears names that row. Rows of a null id or of an id that comes again are told apart by their fingerprints.
+    Null and empty texts have fingerprint 0 and link like any other. An id that one row bears names that row. Rows of a null id or of an id
+    that comes again are told apart by their fingerprints. No rows give no rows; other columns are kept as they are, whatever their names.
     """
     rows = stage(fingerprints(docs, text, doc_id, width), "fps")
-    repeated = stage(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated").toDF("__id")
     lowest = roots(rows, radius).groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("low"))
-    kept = stage(lowest.select(F.col("low.first").alias("id"), F.col("low.fp").alias("fp")), "kept").toDF("__id", "__fp")
+    # rows that bear a kept id and fingerprint: how many, and of how many that bear the id; one alone needs no second look at its text
+    kept = lowest.select(F.col("low.first").alias("__id"), F.col("low.fp").alias("__fp"))
+    borne = rows.where("doc_id is not null").groupBy(F.col("doc_id").alias("__same")).agg(F.count("*").alias("__n"))
+    kept = stage(kept.join(borne, kept["__id"] == borne["__same"], "left").select("__id", "__fp", F.coalesce("__n", F.lit(2)).alias("__n")), "kept")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    sole, unsure = kept.where("__id is not null"), docs.where(F.col(doc_id).isNull())
-    if not repeated.isEmpty():
-        sole = sole.join(repeated, "__id", "left_anti")
-        unsure = unsure.unionByName(docs.join(repeated, docs[doc_id] == repeated["__id"], "left_semi"))
-    once = docs.join(sole.select("__id"), docs[doc_id] == sole["__id"]).select(*[docs[c] for c in docs.columns])
-    own = marked(unsure, text, width)
-    again = own.join(kept.toDF("__kept", "__print"), own[doc_id].eqNullSafe(F.col("__kept")) & (own["__fp"] == F.col("__print")))
-    return once.unionByName(again.dropDuplicates([doc_id, "__fp"]).select(*columns))
+    sole = kept.where("__n = 1").select("__id")
+    once = docs.join(sole, docs[doc_id] == sole["__id"], "left_semi")
+    unsure = kept.where("__n > 1").toDF("__kept", "__print", "__n")
+    if unsure.isEmpty():
+        return once
+    named = unsure.select(F.col("__kept").alias("__id")).where("__id is not null").distinct()
+    again = docs.where(F.col(doc_id).isNull()).unionAll(docs.join(named, docs[doc_id] == named["__id"], "left_semi"))
+    own = marked(again, text, width)
+    own = own.join(unsure, own[doc_id].eqNullSafe(F.col("__kept")) & (own["__fp"] == F.col("__print")))
+    return once.unionAll(own.dropDuplicates([doc_id, "__fp"]).select(*columns))
