@@ -6,7 +6,7 @@ fitted logistic curve, is the document's quality.
 
 Only documents are labelled. A line starts with its document's label; lines of bad documents that a first, line-by-line fit finds
 clearly good are then called good (a bad document keeps its worst line), and the chain is trained on that. Training takes a bounded sample
-(SAMPLE labelled rows of the smallest hashes) and only the lines' numbers go to the driver; scoring is one pass over the texts.
+(SAMPLE labelled rows of the smallest hashes, and of these, in that order, whole documents up to LINES lines) and only the lines' numbers go to the driver; scoring is one pass over the texts.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from granary.llm.toxicity import training_sample
 
 #: Labelled rows that are learnt from, at most.
 SAMPLE = 4000
+#: Lines that are learnt from, at most: what bounds the driver's memory, 27 numbers a line.
+LINES = 400_000
 UPPER, LOWER, DIGITS = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
 SYMBOLS = b"#$%&*|<>{}[]=@^~\\/_+"
 OWN = 14  # features of a line by itself
@@ -165,13 +167,23 @@ def fit(features: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarra
     return chain, curve(pooled(good, w, starts), labels.astype(float))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, text: str, doc_id: str, sample: int) -> tuple[Chain, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, label: str, text: str, doc_id: str, sample: int, lines: int = LINES) -> tuple[Chain, np.ndarray]:
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [line_features(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), *(pa.array([x[k].astype(np.float32).tobytes() for x in found], pa.binary()) for k in (0, 1))], names=["y", "features", "weights"])
 
-    rows = training_sample(docs, labels, label, text, doc_id, sample).mapInArrow(numbers, "y int, features binary, weights binary").collect()  # at most `sample` rows of numbers
+    chosen = training_sample(docs, labels, label, text, doc_id, sample).select("text", "y", F.xxhash64("text", "y").alias("h"), F.regexp_count("text", F.lit("\n")).alias("n"))
+    chosen = chosen.where(F.col("n") < lines // 20)  # a document of so many lines would be most of what is learnt
+    sizes = sorted((r.h, r.n + 1) for r in chosen.select("h", "n").collect())  # at most `sample` rows
+    total, last = 0, None
+    for h, n in sizes:
+        if total + n > lines:
+            break
+        total, last = total + n, h
+    if last is None:
+        return fit([], [], np.zeros(0))
+    rows = chosen.where(F.col("h") <= last).select("text", "y").mapInArrow(numbers, "y int, features binary, weights binary").collect()  # at most `lines` lines
     rows.sort(key=lambda r: (r.y, bytes(r.features)))
     return fit([np.frombuffer(r.features, np.float32).reshape(-1, WIDTH).astype(float) for r in rows], [np.frombuffer(r.weights, np.float32).astype(float) for r in rows], np.array([r.y for r in rows]))
 
