@@ -5,11 +5,13 @@ threshold starts from the longest vectors and rises with what its task finds. A
 product of lengths can't reach the threshold; in other blocks the sum over the leading axes of the SVD plus the product of the
 residual lengths is an upper bound, and only what passes it is scored. Bounds get a margin for rounding, so none of the best is lost.
 
-Queries come in blocks of a fixed size, each a pass over the index; a block is broadcast, at most QUERIES x width doubles twice.
+Queries come in blocks bounded in bytes, each a pass over the index whose results are written before the next block is broadcast, so the
+driver holds one block however many there are.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -22,8 +24,8 @@ from pyspark.sql import types as T
 from granary.llm.common import bound_batches, stage
 from granary.llm.vectors import finite, matrix
 
-#: Queries of a pass, and longest vectors from which their thresholds start.
-QUERIES, HEAD = 65_536, 2048
+#: Bytes of a pass's queries (vectors, as they are and rotated, and best so far), and longest vectors from which their thresholds start.
+QUERY_BYTES, HEAD = 32 << 20, 2048
 #: Vectors and queries of a block in a task.
 ROWS, AT_ONCE = 2048, 1024
 
@@ -55,14 +57,17 @@ class Search:
         self.norms = np.linalg.norm(vectors, axis=1)
         self.rest = np.linalg.norm(self.turned[:, self.lead :], axis=1)
         self.least = np.full(len(ids), -np.inf)  # a score below it is not among the best
-        self.own = np.zeros((3, 0), np.int64)  # query, id, score
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops what was found; thresholds stay."""
+        self.own = {q: np.zeros((3, 0), np.int64) for q in range(0, len(self.ids), AT_ONCE)}  # of each slice of queries: query, id, score
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         norms = np.linalg.norm(vectors, axis=1)
         turned = vectors @ self.axes
         rest = np.linalg.norm(turned[:, self.lead :], axis=1)
-        found = [self.own]
-        for q in range(0, len(self.ids), AT_ONCE):
+        for q in self.own:
             reach = self.norms[q : q + AT_ONCE] * norms.max()
             some = q + np.flatnonzero(reach * (1 + 1e-9) + 1e-6 >= self.least[q : q + AT_ONCE])
             if not len(some):
@@ -74,21 +79,26 @@ class Search:
                 at, own = c[i : i + 400_000], some[j[i : i + 400_000]]
                 score = exact_scores(vectors[at], self.vectors[own], self.large)
                 good = (score >= self.least[own]) & (ids[at] != self.ids[own])
-                found.append(np.stack([own[good], ids[at][good], score[good]]))
-        every = np.concatenate(found, axis=1)
-        self.own = every[:, best(every[0], every[1], every[2], self.k)]
-        query, n = np.unique(self.own[0], return_counts=True)
+                self.merge(q, np.stack([own[good], ids[at][good], score[good]]))
+
+    def merge(self, q: int, found: np.ndarray) -> None:
+        if not found.shape[1]:
+            return
+        every = np.concatenate([self.own[q], found], axis=1)
+        every = self.own[q] = every[:, best(every[0], every[1], every[2], self.k)]
+        query, n = np.unique(every[0], return_counts=True)
         last = np.cumsum(n) - 1
         full = n == self.k
-        self.least[query[full]] = np.maximum(self.least[query[full]], self.own[2][last[full]])
+        self.least[query[full]] = np.maximum(self.least[query[full]], every[2][last[full]])
 
 
-def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 5, scale: float = 256.0, at_once: int = QUERIES) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 5, scale: float = 256.0, at_once: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query row with all rows of other ids.
 
     Ties go to the smaller id; fewer than k candidates give fewer rows. Vectors that are null or hold null or non-finite components, and rows
     of a null id, take no part. Shorter vectors count as filled up with zeros. A repeated query row has its results repeated; repeated
-    candidates each take a rank. Scores beyond a long are held to its range. Other columns are left out, whatever their names.
+    candidates each take a rank. Scores beyond a long are held to its range, a departure from exact scores that needs components beyond
+    10^16 or so. at_once: queries of a pass, as many as QUERY_BYTES hold unless given. Other columns are left out, whatever their names.
     """
     spark = vectors.sparkSession
     bound_batches(spark, 4000)
@@ -114,31 +124,43 @@ def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embeddin
     for cell, total in cells:
         gram[cell] = total
     axes = np.linalg.eigh(gram.reshape(width, width))[1][:, ::-1].copy()  # right singular vectors of all rows, the leading ones first
-    head = index.orderBy(F.desc("norm"), "id").limit(HEAD).select("id", "v").collect()
-    head_ids, head_vectors = np.array([r.id for r in head]), matrix(pa.array([r.v for r in head]), width)
-
-    passes = math.ceil(n_queries / at_once)
-    results = None
+    head = index.orderBy(F.desc("norm"), "id").limit(HEAD).select("id", "v").toArrow().combine_chunks()
+    head_ids, head_vectors = head["id"].to_numpy(), matrix(head["v"].combine_chunks(), width)
+
+    passes = math.ceil(n_queries / (at_once or max(1, QUERY_BYTES // (16 * width + 24 * k + 64))))
+    queries = index.where("query").select("id", "v", F.pmod(F.xxhash64("id"), F.lit(passes)).cast("int").alias("pass"))
+    if passes > 1:
+        queries = stage(queries.repartition("pass").sortWithinPartitions("pass"), "queries")
+    results = []
     for p in range(passes):
-        mine = index.where("query").where(F.pmod(F.xxhash64("id"), F.lit(passes)) == p).select("id", "v").collect()
-        if not mine:
+        mine = queries.where(F.col("pass") == p).select("id", "v").toArrow().combine_chunks()
+        if not mine.num_rows:
             continue
-        search = Search(np.array([r.id for r in mine]), matrix(pa.array([r.v for r in mine]), width), axes, k, large)
+        search = Search(mine["id"].to_numpy(), matrix(mine["v"].combine_chunks(), width), axes, k, large)
+        del mine
         search.add(head_ids, head_vectors)
-        search.own = np.zeros((3, 0), np.int64)  # the head is found again in its partition
+        search.forget()  # the head is found again in its partition
         shared = spark.sparkContext.broadcast(search)
+        del search
 
         def searched(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
             own.least = own.least.copy()
-            own.own = np.zeros((3, 0), np.int64)
+            own.forget()
             for batch in batches:
                 for i in range(0, batch.num_rows, ROWS):
                     some = batch.slice(i, ROWS)
                     own.add(some.column(0).to_numpy(), matrix(some.column(1), width))
-            yield pa.RecordBatch.from_arrays([pa.array(own.own[0]), pa.array(own.ids[own.own[0]]), pa.array(own.own[1]), pa.array(own.own[2])], names=["row", "query_id", "vec_id", "score"])
+            for found in own.own.values():
+                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(own.ids[found[0]]), pa.array(found[1]), pa.array(found[2])], names=["row", "query_id", "vec_id", "score"])
 
         found = index.select("id", "v").mapInArrow(searched, "row long, query_id long, vec_id long, score long").withColumn("row", F.col("row") * passes + p)
-        results = found if results is None else results.union(found)
-    ranked = results.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")))
+        results.append(stage(top(found, k), "top-k"))
+        shared.destroy()
+    return functools.reduce(DataFrame.unionAll, results).select("query_id", "rank", "vec_id", "score") if results else spark.createDataFrame([], out)
+
+
+def top(found: DataFrame, k: int) -> DataFrame:
+    """The best of each query over all tasks, ranked."""
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
