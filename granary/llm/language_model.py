@@ -2,22 +2,25 @@
 
     P(v | u) = a[b] c(uv) / c(u) + u[b] c(v) / N + z[b] / (V + 1),    b: bucket of the context's frequency c(u)
 
-The weights of each bucket come from expectation-maximisation on held-out counts: training documents of every 16th hash,
-each judged by the counts of all the others (its own are deleted from them).
+The weights of each bucket come from expectation-maximisation on held-out counts: training documents of every 16th hash (but for huge
+ones), each judged by the counts of all the others (its own are deleted from them).
 
 Counts cover all training documents and follow them in size; nothing of them goes to the driver or to all executors. Documents are
-packed in chunks of tokens, written once. A chunk has its different words and word pairs once, as sorted hashes with counts, cut by
+packed in chunks of tokens, written once; one that a chunk can't hold goes on in the next, led in by its last word, and its sums are added up
+at the end. A chunk has its different words and word pairs once, as sorted hashes with counts, cut by
 hash range into buckets; a bucket's task sums the counts over all chunks and answers each chunk with them, in its order, without
 the hashes. A hot word is one entry of a chunk, so no bucket is hot, and a row of the shuffle is a bucket of a chunk: about
-six bytes a pair out and one back. There are as many buckets as a fixed number of entries asks for; in a corpus so large that a chunk
+six bytes a pair out and one back. Words are told apart by 64-bit hashes, pairs by 56 bits of theirs, so pairs that collide share a count: the
+model's score, not its base, is approximate by as much. There are as many buckets as a fixed number of entries asks for; in a corpus so large that a chunk
 has fewer entries than there are buckets, the rows become single entries.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
-from itertools import groupby
+from collections.abc import Callable, Iterator
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,10 @@ from granary.llm.common import bound_batches, fold, id_text, stage
 CHUNK, BUCKET, PAIR_BITS, HELD_OUT = 1_000_000, 1_000_000, 56, 16
 #: Steps of an octave in which probabilities are gathered for the weights.
 STEPS = 4
+#: Characters of a document that can be held out, at most: it stays in one piece, as its own counts are deleted from all others.
+HELD_CHARS = 4_000_000
+#: A word in bytes: a run of anything but ASCII white space.
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 END_HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,14 +61,22 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Chunk:
-    """Documents as local word numbers, each ended by the number of the end; the last word number is the end's."""
+    """Pieces of documents as local word numbers, each document ended by the number of the end; the last word number is the end's.
 
-    def __init__(self, tokens: np.ndarray, sizes: np.ndarray, training: np.ndarray, hashes: np.ndarray):
-        self.tokens, self.sizes, self.training = tokens.astype(np.int64), sizes, training
+    A piece that goes on with a document is led in by the word before it, which is context and is neither counted nor scored.
+    """
+
+    def __init__(self, tokens: np.ndarray, sizes: np.ndarray, training: np.ndarray, led: np.ndarray, hashes: np.ndarray):
         self.hashes = np.append(hashes, END_HASH)
         self.order = np.argsort(hashes)
-        self.doc = np.repeat(np.arange(len(sizes)), sizes)
-        self.context = np.append(len(hashes), self.tokens[:-1])
+        starts = np.cumsum(sizes) - sizes
+        before = np.append(len(hashes), tokens[:-1].astype(np.int64))
+        before[starts[starts < len(tokens)]] = len(hashes)
+        own = np.ones(len(tokens), bool)
+        own[starts[led > 0]] = False
+        self.tokens, self.context, self.training = tokens.astype(np.int64)[own], before[own], training
+        self.sizes = sizes - (led > 0)
+        self.doc = np.repeat(np.arange(len(sizes)), self.sizes)
         self.pairs, self.pair = np.unique(self.context * len(self.hashes) + self.tokens, return_inverse=True)
         self.pair_hashes = mixed(self.hashes[self.pairs // len(self.hashes)], self.hashes[self.pairs % len(self.hashes)])
         self.pair_order = np.argsort(self.pair_hashes)
@@ -75,7 +90,24 @@ class Chunk:
         yield 2, PAIR_BITS, self.pair_hashes[self.pair_order], pairs[self.pair_order]
 
 
-CHUNKS = "chunk long, kind int, bucket int, docs array<{}>, tokens binary, sizes binary, training binary, counts binary, n long, n_training long, ends long"
+CHUNKS = "chunk long, kind int, bucket int, rows array<long>, docs array<{}>, tokens binary, sizes binary, training binary, led binary, counts binary, n long, n_training long, ends long"
+
+
+def pieces_of(text: str, room: Callable[[], int]) -> Iterator[tuple[list[bytes], bool]]:
+    """Lower-cased words of a text in pieces of as many as there is room for, and whether the text ends with the piece."""
+    data = text.encode().lower()
+    if len(data) < 2 * room():
+        yield data.split(), True
+        return
+    words = (m.group() for m in WORD.finditer(data))
+    piece = list(islice(words, max(room(), 1)))
+    while len(piece) == max(room(), 1):
+        following = next(words, None)
+        if following is None:
+            break
+        yield piece, False
+        piece = [following, *islice(words, max(room(), 1) - 1)]
+    yield piece, True
 
 
 def chunks(docs: DataFrame, chunk: int) -> DataFrame:
@@ -87,36 +119,42 @@ def chunks(docs: DataFrame, chunk: int) -> DataFrame:
         from xxhash import xxh64_intdigest
 
         names = [x.split()[0] for x in CHUNKS.split(", ")]
-        open_n = {False: 0, True: 0}
-        task, n_chunks = TaskContext.get().partitionId(), 0
-        fresh = lambda: ({}, [], [], [])
-        open_ones = {False: fresh(), True: fresh()}
+        task, n_chunks, n_rows = TaskContext.get().partitionId(), 0, 0
+        fresh = lambda: ({}, [], [], [], [], [])  # noqa: E731  words, rows, ids, texts, training, led
+        open_n, open_ones = {False: 0, True: 0}, {False: fresh(), True: fresh()}
 
         def closed(held: bool) -> pa.RecordBatch:
             nonlocal n_chunks
-            words, ids, texts, training = open_ones[held]
-            open_ones[held] = fresh()
+            words, rows, ids, texts, training, led = open_ones[held]
+            open_ones[held], open_n[held] = fresh(), 0
             tokens = np.concatenate([np.where(t < 0, len(words), t) for t in texts]).astype(np.uint32)
-            sizes, flags = np.array([len(t) for t in texts], np.uint32), np.array(training, np.uint8)
+            sizes, flags, leads = np.array([len(t) for t in texts], np.uint32), np.array(training, np.uint8), np.array(led, np.uint8)
+            ends = np.array([t[-1] < 0 for t in texts])
             hashes = np.fromiter((xxh64_intdigest(w) for w in words), np.uint64, len(words))
-            row = [(task << 32 | n_chunks) << 1 | held, 0, 0, ids, packed(tokens), packed(sizes), packed(flags), packed(hashes), len(tokens), int(sizes[flags > 0].sum()), int(flags.sum())]
+            row = [(task << 32 | n_chunks) << 1 | held, *(packed(x) for x in (tokens, sizes, flags, leads, hashes)), len(tokens), int((sizes.astype(int) - leads)[flags > 0].sum()), int((flags > 0)[ends].sum())]
             n_chunks += 1
-            return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.int32()) for x in row[1:3]), pa.array([ids], pa.list_(id_type)), *(pa.array([x], pa.binary()) for x in row[4:8]), *(pa.array([x], pa.int64()) for x in row[8:])], names=names)
+            columns = [pa.array([row[0]], pa.int64()), *(pa.array([0], pa.int32()) for _ in range(2)), pa.array([rows], pa.list_(pa.int64())), pa.array([ids], pa.list_(id_type)), *(pa.array([x], pa.binary()) for x in row[1:6]), *(pa.array([x], pa.int64()) for x in row[6:])]
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
             id_type = batch.column(0).type
-            for doc_id, text, training, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words, ids, texts, flags = open_ones[held]
-                number = words.setdefault
-                own = [number(w, len(words)) for w in text.encode().lower().split()]
-                own.append(-1)
-                ids.append(doc_id)
-                texts.append(np.array(own, np.int64))
-                flags.append(training)
-                open_n[held] += len(own)
-                if open_n[held] >= chunk:
-                    open_n[held] = 0
-                    yield closed(held)
+            for doc_id, text, training, held in zip(batch.column(0).to_pylist(), batch.column(1), *(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                last = None
+                for piece, ended in pieces_of(text.as_py(), lambda held=held: 2 * HELD_CHARS if held else chunk - open_n[held]):
+                    words, rows, ids, texts, flags, led = open_ones[held]
+                    own = [words.setdefault(w, len(words)) for w in (piece if last is None else [last, *piece])]
+                    if ended:
+                        own.append(-1)
+                    rows.append(task << 32 | n_rows)
+                    ids.append(doc_id)
+                    texts.append(np.array(own, np.int64))
+                    flags.append(training)
+                    led.append(last is not None)
+                    last = piece[-1] if piece else None
+                    open_n[held] += len(own)
+                    if open_n[held] >= chunk or not ended:
+                        yield closed(held)
+                n_rows += 1
         for held in (False, True):
             if open_ones[held][1]:
                 yield closed(held)
@@ -125,7 +163,7 @@ def chunks(docs: DataFrame, chunk: int) -> DataFrame:
 
 
 def read_chunk(row: dict) -> Chunk:
-    return Chunk(unpacked(row["tokens"], np.uint32), unpacked(row["sizes"], np.uint32).astype(np.int64), unpacked(row["training"], np.uint8), unpacked(row["counts"], np.uint64))
+    return Chunk(unpacked(row["tokens"], np.uint32), unpacked(row["sizes"], np.uint32).astype(np.int64), unpacked(row["training"], np.uint8), unpacked(row["led"], np.uint8), unpacked(row["counts"], np.uint64))
 
 
 def asked(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
@@ -173,7 +211,7 @@ class Counted(Chunk):
 
     def __init__(self, row: dict, words: list[bytes], pairs: list[bytes], ends: int):
         self.__dict__ = read_chunk(row).__dict__
-        self.ids = row["docs"]
+        self.ids, self.rows = row["docs"], row["rows"]
         none = [np.zeros(0, np.uint64)]
         self.word_counts, self.pair_counts = np.zeros(len(self.hashes)), np.zeros(len(self.pairs))
         self.word_counts[self.order] = np.concatenate([unpacked(b, np.uint64) for b in words] or none)
@@ -247,23 +285,26 @@ def score(docs: DataFrame, training: Column, text: str = "text", doc_id: str = "
     spark = docs.sparkSession
     bound_batches(spark)
     learn = F.coalesce(training, F.lit(False))
-    held = learn & (F.pmod(F.xxhash64(F.lit("weights"), id_text(doc_id)), F.lit(HELD_OUT)) == 0)
+    held = learn & (F.pmod(F.xxhash64(F.lit("weights"), id_text(doc_id)), F.lit(HELD_OUT)) == 0) & (F.length(F.coalesce(F.col(text), F.lit(""))) <= HELD_CHARS)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), learn.alias("training"), held.alias("held"))
     packs = stage(chunks(slim, chunk), "lm-chunks")
-    tokens, total, ends = (int(x or 0) for x in packs.agg(F.sum("n"), F.sum("n_training"), F.sum("ends")).first())
+    tokens, total, ends, n_chunks = (int(x or 0) for x in packs.agg(F.sum("n"), F.sum("n_training"), F.sum("ends"), F.count("*")).first())
     bits = max(3, (tokens // bucket).bit_length())
+    # shuffles as wide as the corpus asks for, so that a task's share is some chunks or buckets however large it is
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for_buckets, for_chunks = max(usual, 1 << bits), max(usual, n_chunks // 2)
 
-    bound_batches(spark, 32)
-    asks = packs.select("chunk", "docs", "tokens", "sizes", "training", "counts").mapInArrow(lambda b: asked(b, bits), "chunk long, kind int, bucket int, steps binary, counts binary")
-    ordered = asks.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk")
+    asks = packs.select("chunk", "rows", "docs", "tokens", "sizes", "training", "led", "counts").mapInArrow(lambda b: asked(b, bits), "chunk long, kind int, bucket int, steps binary, counts binary")
+    ordered = asks.repartition(for_buckets, "kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk")
     answers = stage(ordered.mapInArrow(answered, "chunk long, kind int, bucket int, counts binary, n long"), "lm-answers")
     vocabulary = int(answers.where("chunk = -1").agg(F.sum("n")).first()[0] or 0) + (ends > 0)
 
     def together(condition: str) -> DataFrame:
-        own = packs.where(condition).select("chunk", "kind", "bucket", "docs", "tokens", "sizes", "training", "counts")
-        empty = [F.lit(None).cast(packs.schema[c].dataType).alias(c) for c in ("docs", "tokens", "sizes", "training")]
+        blank = ("rows", "docs", "tokens", "sizes", "training", "led")
+        own = packs.where(condition).select("chunk", "kind", "bucket", *blank, "counts")
+        empty = [F.lit(None).cast(packs.schema[c].dataType).alias(c) for c in blank]
         told = answers.where("chunk >= 0").where(condition).select("chunk", "kind", "bucket", *empty, "counts")
-        return own.union(told).repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket")
+        return own.union(told).repartition(for_chunks, "chunk").sortWithinPartitions("chunk", "kind", "bucket")
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one in counted(batches, ends):
@@ -275,7 +316,8 @@ def score(docs: DataFrame, training: Column, text: str = "text", doc_id: str = "
     uniform = 1 / (vocabulary + 1)
     mix = weights(gathered[:, :3], gathered[:, 3].astype(float), uniform)
     id_type = to_arrow_type(slim.schema["doc_id"].dataType)
-    schema = T.StructType([slim.schema["doc_id"]] + [T.StructField(n, k()) for n, k in (("n_tokens", T.LongType), ("n_known", T.LongType), ("train_tokens", T.LongType), ("base_score", T.DoubleType), ("score", T.DoubleType))])
+    numbers = ("n_tokens", T.LongType), ("n_known", T.LongType), ("base_score", T.DoubleType), ("score", T.DoubleType)
+    schema = T.StructType([T.StructField("row", T.LongType()), slim.schema["doc_id"]] + [T.StructField(n, k()) for n, k in numbers])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one in counted(batches, ends):
@@ -286,10 +328,12 @@ def score(docs: DataFrame, training: Column, text: str = "text", doc_id: str = "
             model = np.log10(p) if total else np.zeros(len(p))
             n = len(one.sizes)
             sums = [np.bincount(one.doc, x, n) for x in ((word > 0).astype(float), base, model)]
-            columns = [pa.array(one.sizes), pa.array(sums[0].astype(np.int64)), pa.array(np.full(n, total)), pa.array(sums[1]), pa.array(sums[2])]
-            yield pa.RecordBatch.from_arrays([pa.array(one.ids, id_type), *columns], names=schema.names)
+            columns = [pa.array(one.sizes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+            yield pa.RecordBatch.from_arrays([pa.array(one.rows, pa.int64()), pa.array(one.ids, id_type), *columns], names=schema.names)
 
-    return together("true").mapInArrow(scored, schema)
+    pieces = together("true").mapInArrow(scored, schema)
+    summed = pieces.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *[F.sum(n).alias(n) for n, _ in numbers])
+    return summed.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def score_folds(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 7, held_out: int = 2) -> DataFrame:
