@@ -55,5 +55,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_packing": op1_packing, "op2_embedding_dedup": op2_embedding_dedup, "op3_simhash": op3_simhash, "op4_token_counts": op4_token_counts, "op5_top_k": op5_top_k, "op6_toxicity": op6_toxicity, "op7_quality": op7_quality, "op8_pii": op8_pii, "op9_mixing": op9_mixing, "op10_language_model": op10_language_model}
 
 
+#: The other operators hash, tokenize, learn or follow links without bound; their tests hold them against brute force.
+SQL = {
+    "op5_top_k": """WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
