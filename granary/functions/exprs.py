@@ -13,11 +13,16 @@ def finite(x: Column) -> Column:
     return F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
 
 
+#: White space of any script.
+WHITE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def normalized(x: Column, collapse: bool = False) -> Column:
     """Upper case without white space (of any script) around it, and with single spaces inside if asked; blank is null."""
-    bare = F.regexp_replace(F.upper(x), r"(?U)^\s+|\s+$", "")
+    bare = F.btrim(F.upper(x), F.lit(WHITE))
     if collapse:
-        bare = F.regexp_replace(bare, r"(?U)\s+", " ")
+        spaced = F.translate(bare, WHITE, " " * len(WHITE))
+        bare = F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " +", " ")).otherwise(spaced)
     return F.nullif(bare, F.lit(""))
 
 

@@ -12,6 +12,7 @@ from granary.plans import query, sql
 from granary.plans.sql import RUN_DATE, dec
 from granary.schema import COLUMNS
 from granary.sources.readers import parsed, quarantine, retail_view, table
+from granary.sources.staging import stage
 
 ORDER_DATE = "2001-01-01"
 
@@ -30,9 +31,9 @@ def long(df: DataFrame, *names: str) -> DataFrame:
 
 
 def raw(spark: SparkSession, d: str) -> DataFrame:
-    """The retail view with a slice of exact duplicates."""
-    view = retail_view(spark, d)
-    return view.unionAll(view.where(F.col("Quantity") % 5 == 0))
+    """The retail view with a slice of exact duplicates, in one scan."""
+    twice = F.when(F.col("Quantity") % 5 == 0, 2).otherwise(1)
+    return retail_view(spark, d).withColumn("__copy", F.explode(F.sequence(F.lit(1), twice))).drop("__copy")
 
 
 def cleaned(spark: SparkSession, d: str) -> DataFrame:
@@ -51,20 +52,20 @@ def typed(spark: SparkSession, d: str, stock: str = "part") -> DataFrame:
     return audit.classified(clean.audit_history(retail_view(spark, d, stock), RUN_DATE))
 
 
+def audited(spark: SparkSession, d: str, stock: str = "part") -> DataFrame:
+    """The audit as a written table, which is how runs publish it and reports read it."""
+    return stage(audit.audit(retail_view(spark, d, stock), RUN_DATE), "audit")
+
+
 def checks(spark: SparkSession, d: str, stock: str = "part") -> DataFrame:
-    return audit.exploded(audit.audit(retail_view(spark, d, stock), RUN_DATE), "InvoiceNo", "StockCode", "Quantity", "record_type", "channel")
+    return audit.exploded(audited(spark, d, stock), "InvoiceNo", "StockCode", "Quantity", "record_type", "channel")
 
 
 def one_rule(spark: SparkSession, d: str, rule: str) -> DataFrame:
-    """Checks of one rule, from its own family of checks alone."""
-    rows = typed(spark, d)
-    if rule in audit.DATA_RULES:
-        rows, column = audit.data_checks(rows), "data_results"
-    elif rule.endswith("_deviation"):
-        rows, column = audit.deviation_checks(rows), "deviation_results"
-    else:
-        rows, column = audit.operational_checks(rows), "operational_results"
-    return rows.select(F.explode(column).alias("c")).select("c.*").where(F.col("rule") == rule)
+    """Checks of one rule, joined to what it alone needs."""
+    facts = stage(typed(spark, d), "classified")
+    found = audit.with_results(facts, tuple(r for r in audit.rules() if r.name == rule))
+    return found.select(F.explode("check_results").alias("c")).select("c.*")
 
 
 def assessed(spark: SparkSession, d: str) -> DataFrame:
@@ -298,7 +299,7 @@ def record_types(spark: SparkSession, d: str) -> DataFrame:
 
 @query("invoice_summary", f"WITH {sql.typed()} SELECT k_invoice, invoice_lines, positive_price_lines, zero_price_lines, customer_count, identified_lines, country_count, date_count, has_dotcom_postage, retail_priced FROM invoices")
 def invoice_summary(spark: SparkSession, d: str) -> DataFrame:
-    return audit.invoice_summary(audit.base_columns(retail_view(spark, d)).withColumn("accounting", F.col("k_invoice").startswith("A"))).drop("priced_lines")
+    return audit.invoice_summary(audit.base_columns(retail_view(spark, d))).drop("priced_lines")
 
 
 _WORDS = {n: p.replace("\\b", "\\b").replace("'", "''") for n, p in audit.KEYWORDS.items()}
@@ -322,8 +323,9 @@ for _rule in audit.RULES:
     _per_rule(_rule)
 
 
-def _baseline_rows(found: DataFrame, keys: list[str], p: str) -> DataFrame:
-    return found.select(*keys, F.col(f"{p}_n").alias("n"), num(f"{p}_med").alias("median"), num(f"{p}_mad").alias("mad"))
+def _baseline_rows(spark: SparkSession, d: str, table: str, base: str, stock: str = "part") -> DataFrame:
+    keys, found = audit.sale_baselines(typed(spark, d, stock))[table]
+    return found.where(F.col(base).isNotNull()).select(*keys, F.col(f"{base}.n").alias("n"), num(f"{base}.med").alias("median"), num(f"{base}.mad").alias("mad"))
 
 
 BASE_OUT = f"n, {dec('med')} AS median, {dec('mad')} AS mad"
@@ -331,17 +333,17 @@ BASE_OUT = f"n, {dec('med')} AS median, {dec('mad')} AS mad"
 
 @query("baseline_channel_stock", f"WITH {sql.typed()}, {sql.BASELINES} SELECT baseline_group, k_stock, {BASE_OUT} FROM q3")
 def baseline_channel_stock(spark: SparkSession, d: str) -> DataFrame:
-    return _baseline_rows(audit.sale_baselines(typed(spark, d))["q3"], ["baseline_group", "k_stock"], "q3")
+    return _baseline_rows(spark, d, "group", "group_quantity")
 
 
 @query("baseline_customer", f"WITH {sql.typed()}, {sql.BASELINES} SELECT k_customer, {BASE_OUT} FROM q2")
 def baseline_customer(spark: SparkSession, d: str) -> DataFrame:
-    return _baseline_rows(audit.sale_baselines(typed(spark, d))["q2"], ["k_customer"], "q2")
+    return _baseline_rows(spark, d, "customer", "customer_quantity")
 
 
 @query("baseline_customer_type_price", f"WITH {sql.typed('type')}, {sql.BASELINES} SELECT k_customer, k_stock, {BASE_OUT} FROM p1")
 def baseline_customer_type_price(spark: SparkSession, d: str) -> DataFrame:
-    return _baseline_rows(audit.sale_baselines(typed(spark, d, "type"))["p1"], ["k_customer", "k_stock"], "p1")
+    return _baseline_rows(spark, d, "pair", "pair_price", "type")
 
 
 def _deviations(rule: str, stock: str) -> None:
@@ -407,7 +409,7 @@ def top5_orders(spark: SparkSession, d: str) -> DataFrame:
 
 @query("report_status_severity", f"WITH {sql.checks()}, r AS (SELECT id, bool_or(status = 'flagged') AS hit, min(CASE severity WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 END) AS s FROM checks GROUP BY id) SELECT CASE WHEN hit THEN 'flagged' ELSE 'not_flagged' END AS assessment_status, CASE s WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' END AS max_severity, count(*) AS rows FROM r GROUP BY ALL")
 def report_status_severity(spark: SparkSession, d: str) -> DataFrame:
-    return reports.status_severity(audit.audit(retail_view(spark, d), RUN_DATE))
+    return reports.status_severity(audited(spark, d))
 
 
 CHANNELS = ["identified", "internal", "retail_other", "retail_web"]
@@ -591,7 +593,7 @@ def iqr_flags(spark: SparkSession, d: str) -> DataFrame:
 
 @query("flag_cooccurrence", f"WITH {sql.checks()}, f AS (SELECT id, rule FROM checks WHERE status = 'flagged') SELECT a.rule AS a, b.rule AS b, count(*) AS rows FROM f a JOIN f b ON a.id = b.id GROUP BY ALL")
 def flag_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
-    return reports.co_occurrence(audit.audit(retail_view(spark, d), RUN_DATE), "anomaly_flags", [])
+    return reports.co_occurrence(audited(spark, d), "anomaly_flags", [])
 
 
 @query("reversal_candidates", f"WITH {sql.typed('type')}, own AS (SELECT *, abs(Quantity) AS size FROM typed WHERE k_customer IS NOT NULL AND UnitPrice > 0), s AS (SELECT k_stock, UnitPrice, k_customer, size, count(*) AS sold FROM own WHERE NOT cancel AND Quantity > 0 GROUP BY ALL), b AS (SELECT k_stock, UnitPrice, k_customer, size, count(*) AS cancelled FROM own WHERE cancel AND Quantity < 0 GROUP BY ALL) SELECT count(*) AS keys, CAST(coalesce(sum(least(sold, cancelled)), 0) AS BIGINT) AS pairs FROM s JOIN b USING (k_stock, UnitPrice, k_customer, size)")
