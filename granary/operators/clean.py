@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +26,14 @@ def charge(config: CleanConfig = DEFAULT.clean) -> Column:
     return truth(upper_trim("StockCode").isin(*config.service_codes)) | truth(upper_trim("Description").isin(*config.service_descriptions))
 
 
-def metrics_policy(df: DataFrame, config: CleanConfig = DEFAULT.clean) -> DataFrame:
+def sellable(columns: list[str], config: CleanConfig = DEFAULT.clean) -> Column:
     """Lines that customer metrics may use: complete, not cancelled, positive, goods."""
-    return df.dropna("any").where(~upper_trim("InvoiceNo").startswith("C")).where((F.col("Quantity") > 0) & (F.col("UnitPrice") > 0)).where(~charge(config))
+    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+    return complete & ~upper_trim("InvoiceNo").startswith("C") & (F.col("Quantity") > 0) & (F.col("UnitPrice") > 0) & ~charge(config)
+
+
+def metrics_policy(df: DataFrame, config: CleanConfig = DEFAULT.clean) -> DataFrame:
+    return df.where(sellable(df.columns, config))
 
 
 def daily_policy(df: DataFrame, config: CleanConfig = DEFAULT.clean) -> DataFrame:

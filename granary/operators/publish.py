@@ -214,9 +214,9 @@ class Workspace:
 
     def activate(self, version: str, effective_from: str) -> dict:
         self.verified({"version": version})
-        names = self.files.names(self.files.at("models", "activations"))
-        value = {"sequence": len(names) + 1, "version": version, "effective_from": date.fromisoformat(effective_from).isoformat()}
         with self.files.lock(".registry.lock"):
+            names = [n for n in self.files.names(self.files.at("models", "activations")) if n.endswith(".json")]
+            value = {"sequence": len(names) + 1, "version": version, "effective_from": date.fromisoformat(effective_from).isoformat()}
             self.write(self.files.at("models", "activations", f"{value['sequence']:06d}.json"), value)
         return value
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.config import DEFAULT, RfmConfig
 from granary.functions.exprs import finite, first_match, money, truth
+from granary.operators.ranges import running
 from granary.schema import ContractError
+from granary.sources.staging import stage
 
 METRICS = (("Recency", "R_score", False), ("Frequency", "F_score", True), ("Monetary", "M_score", True))
 
@@ -23,37 +25,31 @@ def metrics(history: DataFrame, run_date: str) -> DataFrame:
     return totals.select("CustomerID", day.alias("run_date"), "LastPurchaseDate", F.date_diff(day, F.to_date("LastPurchaseDate")).alias("Recency"), "Frequency", "Monetary")
 
 
-def percent_ranks(df: DataFrame, metric: str, ascending: bool, name: str) -> DataFrame:
-    """percent_rank of a metric over all rows, without a window over all rows in one task.
+def cut_values(rfm: DataFrame, metric: str, ascending: bool, cuts: tuple[float, ...]) -> list:
+    """For each cut the first value, in the metric's order, whose percent_rank reaches it; null if none does.
 
-    Ranks follow from the counts of each value: counts are partial aggregates, and only running sums over the different values,
-    cut in ranges of values, are ordered. Equal values share a rank.
+    percent_rank depends on the value alone, so a customer's score is a comparison with these few values: no window over all rows and no
+    join. Ranks follow from counts of the values, summed in ranges.
     """
-    value = F.col(metric).cast("decimal(38,2)")
-    key = value if ascending else -value
-    counts = df.groupBy(key.alias("__v")).agg(F.count("*").alias("__n"))
-    ranged = counts.repartitionByRange("__v").withColumn("__part", F.spark_partition_id())
-    inside = ranged.withColumn("__below", F.coalesce(F.sum("__n").over(Window.partitionBy("__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    parts = ranged.groupBy("__part").agg(F.sum("__n").alias("__m"))
-    order = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("__part", F.coalesce(F.sum("__m").over(order), F.lit(0)).alias("__ahead"), F.sum("__m").over(Window.partitionBy(F.lit(1))).alias("__all"))
-    ranks = inside.join(offsets, "__part").select("__v", F.when(F.col("__all") > 1, (F.col("__below") + F.col("__ahead")) / (F.col("__all") - 1)).otherwise(0.0).alias(name))
-    return df.withColumn("__v", key).join(ranks, "__v").drop("__v")
+    value = F.col(metric) if ascending else -F.col(metric)
+    ranked = running(rfm.groupBy(value.alias("v")).agg(F.count("*").alias("n")))
+    rank = F.when(F.col("total") > 1, F.col("below") / (F.col("total") - 1)).otherwise(0.0)
+    return list(ranked.agg(*[F.min(F.when(rank >= cut, F.col("v"))).alias(f"c{i}") for i, cut in enumerate(cuts)]).first())
 
 
-def score(rank: Column, config: RfmConfig = DEFAULT.rfm) -> Column:
-    return first_match([(rank < cut, F.lit(i + 1)) for i, cut in enumerate(config.cuts)], F.lit(len(config.cuts) + 1))
-
-
-def scores(rfm: DataFrame, config: RfmConfig = DEFAULT.rfm, at_scale: bool = False) -> DataFrame:
-    """Scores 1 to 5 by percent rank with ties kept. at_scale: ranks from counts of values instead of one ordered window a metric."""
-    out = rfm
+def scores(rfm: DataFrame, config: RfmConfig = DEFAULT.rfm, at_scale: bool = True) -> DataFrame:
+    """Scores 1 to 5 by percent rank with ties kept. The metrics are staged, as each is looked at twice; not at_scale: one ordered window a metric."""
+    out = stage(rfm, "rfm") if at_scale else rfm
+    found = {}
     for metric, name, ascending in METRICS:
+        value = F.col(metric) if ascending else -F.col(metric)
         if at_scale:
-            out = percent_ranks(out, metric, ascending, "__rank").withColumn(name, score(F.col("__rank"), config)).drop("__rank")
+            reached = [value >= F.lit(v) for v in cut_values(out, metric, ascending, config.cuts) if v is not None]
         else:
-            order = F.col(metric).asc() if ascending else F.col(metric).desc()
-            out = out.withColumn(name, score(F.percent_rank().over(Window.orderBy(order)), config))
+            rank = F.percent_rank().over(Window.orderBy(value))
+            reached = [rank >= cut for cut in config.cuts]
+        found[name] = sum((r.cast("int") for r in reached), F.lit(1))
+    out = out.withColumns(found)
     return out.withColumn("RFM_score", F.concat(*[F.col(n).cast("string") for _, n, _ in METRICS]))
 
 

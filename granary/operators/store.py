@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from granary.functions.exprs import money
 from granary.operators.clean import require_before, require_metrics_contract
 from granary.schema import RESERVED, ContractError
+from granary.sources.staging import scope, stage
 
 MONEY = "decimal(38,8)"
 
@@ -45,9 +46,11 @@ def novel_rows(incoming: DataFrame, stored: DataFrame) -> DataFrame:
 
 def advanced(state: DataFrame, known: DataFrame, delta: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(state, known invoices) after delta, whose rows must be new."""
-    fresh = new_invoices(known, delta)
-    more = delta.groupBy("CustomerID").agg(F.max("InvoiceDate").alias("last"), F.sum(money(F.col("Quantity"), F.col("UnitPrice"))).cast(MONEY).alias("money"))
-    more = more.join(fresh.groupBy("CustomerID").agg(F.count("*").alias("fresh")), "CustomerID", "left")
+    # delta once: by invoice first, which the known ones then mark
+    invoices = delta.groupBy("CustomerID", "InvoiceNo").agg(F.max("InvoiceDate").alias("last"), F.sum(money(F.col("Quantity"), F.col("UnitPrice"))).alias("money"))
+    invoices = invoices.join(known.withColumn("seen", F.lit(True)), ["CustomerID", "InvoiceNo"], "left")
+    more = invoices.groupBy("CustomerID").agg(F.max("last").alias("last"), F.sum("money").cast(MONEY).alias("money"), F.count_if(F.col("seen").isNull()).alias("fresh"))
+    fresh = invoices.where("seen is null").select("CustomerID", "InvoiceNo")
     both = state.join(more, "CustomerID", "full")
     nothing = F.lit(0)
     after = both.select(
@@ -93,11 +96,11 @@ class Store:
 
     def manifest(self, version: str | None = None, run_date: str | None = None) -> dict:
         """A version, or the newest of a cutoff not after run_date, or the newest."""
-        found = [self.files.read_json(self.files.at("manifests", f"{v}.json")) for v in (self.versions() if version is None else [version])]
-        found = [m for m in found if run_date is None or m["run_date"] <= run_date]
-        if not found:
-            raise LookupError("no such version")
-        return found[-1]
+        for v in reversed(self.versions()) if version is None else [version]:  # cutoffs never go back: the first that fits is the newest
+            found = self.files.read_json(self.files.at("manifests", f"{v}.json"))
+            if run_date is None or found["run_date"] <= run_date:
+                return found
+        raise LookupError("no such version")
 
     def read(self, table: str, manifest: dict | None = None) -> DataFrame:
         manifest = manifest or self.manifest()
@@ -119,8 +122,8 @@ class Store:
             raise ValueError("batch_id: letters, digits, _ and - only")
         if buckets is not None and not 1 <= buckets <= 4096:
             raise ValueError("buckets: 1 to 4096")
-        with self.files.lock():
-            incoming = canonical(transactions)
+        with self.files.lock(), scope(self.spark, []):
+            incoming = stage(canonical(transactions), "incoming")
             require_before(incoming, run_date)
             mark = fingerprint(incoming)
             versions = self.versions()

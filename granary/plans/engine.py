@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,14 +9,15 @@ from pyspark.sql import functions as F
 
 from granary import streaming
 from granary.operators import ml, rfm, store
-from granary.plans import query
-from granary.plans.retail import cleaned, customers, num
+from granary.plans import query, sql
+from granary.plans.retail import STATE, STATE_OUT, cleaned, customers, num, state_columns
 from granary.plans.sql import RUN_DATE, dec
 from granary.sources.readers import table
+from granary.sources.staging import shared_dir, stage
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='granary-')}/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
 @query("kmeans_assign")
@@ -38,19 +38,26 @@ def student_scores(spark: SparkSession, d: str) -> DataFrame:
     return ml.student_scores(ml.fit_student(labelled, ml.Candidate(20, 5), 2), metrics, "student").select("CustomerID", "Cluster", "confidence")
 
 
-@query("store_two_batches", "SELECT CAST(0 AS BIGINT) AS differences")
+@query("store_two_batches", f"WITH {sql.CUSTOMERS} {STATE_OUT} ({STATE.format('')})")
 def store_two_batches(spark: SparkSession, d: str) -> DataFrame:
-    """The store after two overlapping batches and a replay, against the state of all rows at once: no difference."""
-    from granary.operators.audit import multiset_difference
-
-    every = cleaned(spark, d)
+    """The store's state after two overlapping batches and a replay."""
+    every = stage(cleaned(spark, d), "cleaned")
     kept = store.Store(spark, _folder(spark))
     first, second = every.where(F.col("InvoiceDate") < "1999-01-01"), every.where(F.col("InvoiceDate") >= "1998-06-01")
     kept.ingest(first, "first", "1999-01-01", initialize=True, buckets=8)
     kept.ingest(second, "second", RUN_DATE)
     kept.ingest(second, "second", RUN_DATE)
-    same = lambda s: s.select("CustomerID", "LastPurchaseDate", "Frequency", "MonetaryTotal")
-    return multiset_difference(same(kept.read("state")), same(store.customer_state(every))).agg(F.count("*").alias("differences"))
+    return state_columns(kept.read("state"))
+
+
+@query("store_time_travel", f"WITH {sql.CUSTOMERS} {STATE_OUT} ({STATE.format(chr(39).join(['WHERE InvoiceDate < TIMESTAMP ', '1999-01-01', '']))})")
+def store_time_travel(spark: SparkSession, d: str) -> DataFrame:
+    """The store's state as of an earlier cutoff, after a later batch."""
+    every = stage(cleaned(spark, d), "cleaned")
+    kept = store.Store(spark, _folder(spark))
+    kept.ingest(every.where(F.col("InvoiceDate") < "1999-01-01"), "first", "1999-01-01", initialize=True, buckets=2)
+    kept.ingest(every.where(F.col("InvoiceDate") >= "1999-01-01"), "second", RUN_DATE)
+    return state_columns(kept.read("state", kept.manifest(run_date="2000-01-01")))
 
 
 @query("event_windows", f"SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS events, {dec('sum(CAST(value AS DECIMAL(18,6)))', 2)} AS value FROM events GROUP BY ALL")

@@ -102,8 +102,7 @@ def clean_daily_counts(spark: SparkSession, d: str) -> DataFrame:
 @query("clean_counts", f"WITH {sql.retail()}, {sql.RAW}, {sql.CLEAN} SELECT (SELECT count(*) FROM raw) AS input, (SELECT count(*) FROM (SELECT DISTINCT * FROM raw)) AS deduplicated, (SELECT count(*) FROM clean) AS kept")
 def clean_counts(spark: SparkSession, d: str) -> DataFrame:
     rows = raw(spark, d).groupBy(*COLUMNS).agg(F.count("*").alias("n"))
-    kept = clean.metrics_policy(rows.drop("n")).agg(F.count("*").alias("kept"))
-    return rows.agg(F.sum("n").alias("input"), F.count("*").alias("deduplicated")).crossJoin(kept)  # one row each
+    return rows.agg(F.sum("n").alias("input"), F.count("*").alias("deduplicated"), F.count_if(clean.sellable(COLUMNS)).alias("kept"))
 
 
 TEXTS = """SELECT CAST(l_orderkey AS VARCHAR) AS InvoiceNo, CASE WHEN l_partkey % 17 = 3 THEN 'many' WHEN l_partkey % 19 = 4 THEN 'NaN' ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR) END AS Quantity,
@@ -148,7 +147,7 @@ def rfm_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query("rfm_scores_at_scale", SCORES)
 def rfm_scores_at_scale(spark: SparkSession, d: str) -> DataFrame:
-    found = rfm.scores(rfm.metrics(cleaned(spark, d), RUN_DATE), at_scale=True)
+    found = rfm.scores(rfm.metrics(cleaned(spark, d), RUN_DATE))
     return found.select("CustomerID", "R_score", "F_score", "M_score", "RFM_score")
 
 
@@ -226,28 +225,25 @@ def state_initial(spark: SparkSession, d: str) -> DataFrame:
 def state_advance(spark: SparkSession, d: str) -> DataFrame:
     from granary.operators import store
 
-    every = cleaned(spark, d)
+    every = stage(cleaned(spark, d), "cleaned")
     old, new = every.where(F.col("InvoiceDate") < "1998-01-01"), every.where(F.col("InvoiceDate") >= "1998-01-01")
     state, _ = store.advanced(store.customer_state(old), store.known_invoices(old), new)
     return state_columns(state)
 
 
-@query("state_equals_batch", "SELECT CAST(0 AS BIGINT) AS differences")
+@query("state_equals_batch", f"WITH {sql.CUSTOMERS} {STATE_OUT} ({STATE.format('')})")
 def state_equals_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The state of all rows at once, which an advanced one must equal."""
     from granary.operators import store
 
-    every = cleaned(spark, d)
-    old, new = every.where(F.col("InvoiceDate") < "1999-01-01"), every.where(F.col("InvoiceDate") >= "1999-01-01")
-    state, _ = store.advanced(store.customer_state(old), store.known_invoices(old), new)
-    same = lambda s: s.select("CustomerID", "LastPurchaseDate", "Frequency", F.col("MonetaryTotal").cast("decimal(30,8)"))
-    return audit.multiset_difference(same(state), same(store.customer_state(every))).agg(F.count("*").alias("differences"))
+    return state_columns(store.customer_state(cleaned(spark, d)))
 
 
 @query("new_invoices", f"WITH {sql.CUSTOMERS} SELECT DISTINCT CustomerID, InvoiceNo FROM clean a WHERE InvoiceDate >= TIMESTAMP '1999-01-01' AND NOT EXISTS (SELECT 1 FROM clean b WHERE b.InvoiceDate < TIMESTAMP '1999-01-01' AND a.CustomerID = b.CustomerID AND a.InvoiceNo = b.InvoiceNo)")
 def new_invoices(spark: SparkSession, d: str) -> DataFrame:
     from granary.operators import store
 
-    every = cleaned(spark, d)
+    every = stage(cleaned(spark, d), "cleaned")
     return store.new_invoices(store.known_invoices(every.where(F.col("InvoiceDate") < "1999-01-01")), every.where(F.col("InvoiceDate") >= "1999-01-01"))
 
 
@@ -365,10 +361,10 @@ def row_status(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy(flags.alias("flags"), "max_severity", "assessment_status").agg(F.count("*").alias("rows"))
 
 
-@query("audit_preserves_rows", "SELECT CAST(0 AS BIGINT) AS differences")
+@query("audit_preserves_rows", f"WITH {sql.retail()} SELECT InvoiceNo, StockCode, Description, Quantity, {DATED}, UnitPrice, CustomerID, Country FROM retail")
 def audit_preserves_rows(spark: SparkSession, d: str) -> DataFrame:
-    view = retail_view(spark, d)
-    return audit.multiset_difference(audit.audit(view, RUN_DATE).select(*COLUMNS), view).agg(F.count("*").alias("differences"))
+    """The rows that come out of the audit: all that went in."""
+    return audit.audit(retail_view(spark, d), RUN_DATE).select(*COLUMNS).withColumn("InvoiceDate", F.date_format("InvoiceDate", "yyyy-MM-dd"))
 
 
 # ---------------------------------------------------------------------------------------------- audit: orders
@@ -423,7 +419,7 @@ def report_types_by_channel(spark: SparkSession, d: str) -> DataFrame:
 
 @query("report_rules", f"WITH {sql.checks()} SELECT tier, rule, count(*) AS rows, count(DISTINCT InvoiceNo) AS invoices, {dec('sum(CAST(value_at_risk AS DECIMAL(18,2)))', 2)} AS value_at_risk, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM checks WHERE status = 'flagged' GROUP BY ALL")
 def report_rules(spark: SparkSession, d: str) -> DataFrame:
-    return reports.rule_rollup(checks(spark, d)).withColumn("value_at_risk", num("value_at_risk", 2))
+    return reports.summary(checks(spark, d), "flagged_rules").withColumn("value_at_risk", num("value_at_risk", 2))
 
 
 @query("report_rules_by_channel", f"WITH {sql.checks()} SELECT rule, {_PIVOT} FROM checks WHERE status = 'flagged' AND tier = 'business' GROUP BY rule")
@@ -433,23 +429,23 @@ def report_rules_by_channel(spark: SparkSession, d: str) -> DataFrame:
 
 @query("report_baseline_levels", f"WITH {sql.checks('type')} SELECT rule, context_level, count(*) AS applied, count(*) FILTER (status = 'flagged') AS flagged FROM checks WHERE rule IN ('quantity_deviation', 'price_deviation') AND status <> 'not_applied' GROUP BY ALL")
 def report_baseline_levels(spark: SparkSession, d: str) -> DataFrame:
-    return reports.baseline_levels(checks(spark, d, "type"))
+    return reports.summary(checks(spark, d, "type"), "levels")
 
 
-@query("report_fold_percentiles", f"WITH {sql.checks('type')} SELECT rule, context_level, count(*) AS flagged, {dec('100.0 * avg(CAST(robust_z IS NULL AS INT))')} AS mad0_pct, {dec('100.0 * avg(CAST(severity = ' + chr(39) + 'low' + chr(39) + ' AS INT))')} AS low_pct, {dec('quantile_cont(fold_change, 0.1)', 3)} AS fold_p10, {dec('quantile_cont(fold_change, 0.5)', 3)} AS fold_p50, {dec('quantile_cont(fold_change, 0.9)', 3)} AS fold_p90, {dec('quantile_cont(value_at_risk, 0.5)', 1)} AS value_p50 FROM checks WHERE rule IN ('quantity_deviation', 'price_deviation') AND status = 'flagged' GROUP BY ALL")
+@query("report_fold_percentiles", f"WITH {sql.checks('type')} SELECT rule, context_level, count(*) AS flagged, {dec('100.0 * avg(CAST(robust_z IS NULL AS INT))')} AS without_spread_pct, {dec('100.0 * avg(CAST(severity = ' + chr(39) + 'low' + chr(39) + ' AS INT))')} AS minor_pct, {dec('quantile_cont(fold_change, 0.1)', 3)} AS fold_decile_1, {dec('quantile_cont(fold_change, 0.5)', 3)} AS fold_decile_5, {dec('quantile_cont(fold_change, 0.9)', 3)} AS fold_decile_9, {dec('quantile_cont(value_at_risk, 0.5)', 1)} AS median_value FROM checks WHERE rule IN ('quantity_deviation', 'price_deviation') AND status = 'flagged' GROUP BY ALL")
 def report_fold_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    found = reports.fold_percentiles(checks(spark, d, "type"))
-    return found.withColumns({"mad0_pct": num("mad0_pct"), "low_pct": num("low_pct"), "value_p50": num("value_p50", 1), **{f"fold_p{p}": num(f"fold_p{p}", 3) for p in (10, 50, 90)}})
+    found = reports.summary(checks(spark, d, "type"), "folds")
+    return found.withColumns({"without_spread_pct": num("without_spread_pct"), "minor_pct": num("minor_pct"), "median_value": num("median_value", 1), **{f"fold_decile_{p}": num(f"fold_decile_{p}", 3) for p in (1, 5, 9)}})
 
 
-@query("report_price_direction", f"WITH {sql.checks('type')} SELECT CASE WHEN fold_change < 1 THEN 'lower' ELSE 'higher' END AS direction, channel, count(*) AS rows, {dec('quantile_cont(Quantity, 0.5)')} AS quantity_p50 FROM checks WHERE rule = 'price_deviation' AND status = 'flagged' GROUP BY ALL")
+@query("report_price_direction", f"WITH {sql.checks('type')} SELECT CASE WHEN fold_change < 1 THEN 'lower' ELSE 'higher' END AS direction, channel, count(*) AS rows, {dec('quantile_cont(Quantity, 0.5)')} AS median_quantity FROM checks WHERE rule = 'price_deviation' AND status = 'flagged' GROUP BY ALL")
 def report_price_direction(spark: SparkSession, d: str) -> DataFrame:
-    return numbers(reports.price_direction(checks(spark, d, "type")), "quantity_p50")
+    return numbers(reports.summary(checks(spark, d, "type"), "price_direction"), "median_quantity")
 
 
 @query("report_not_applied", f"WITH {sql.checks()} SELECT rule, reason, count(*) AS rows FROM checks WHERE status = 'not_applied' GROUP BY ALL")
 def report_not_applied(spark: SparkSession, d: str) -> DataFrame:
-    return reports.not_applied_reasons(checks(spark, d))
+    return reports.summary(checks(spark, d), "reasons")
 
 
 @query("report_top3_per_rule", f"WITH {sql.checks()}, r AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY value_at_risk DESC NULLS LAST, InvoiceNo, StockCode, Quantity) AS place FROM checks WHERE tier = 'business' AND status = 'flagged') SELECT rule, CAST(place AS INT) AS place, InvoiceNo, StockCode, {dec('value_at_risk', 1)} AS value_at_risk FROM r WHERE place <= 3")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from py4j.java_gateway import JavaObject
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.operators.audit import multiset_difference
@@ -50,9 +51,24 @@ class Files:
             stream.hsync()
         finally:
             stream.close()
-        if self.exists(name) or not self.fs.rename(self.path(beside), self.path(name)):
+        try:
+            self.rename(beside, name)
+        except FileExistsError:
             self.fs.delete(self.path(beside), False)
-            raise FileExistsError(name)
+            raise
+
+    def rename(self, old: str, new: str) -> None:
+        """Refuses an existing target, in one step where the file system can."""
+        jvm = self.spark._jvm
+        none = self.spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        none[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(self.fs.makeQualified(self.path(old)), self.fs.makeQualified(self.path(new)), none)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName() or self.exists(new):
+                raise FileExistsError(new) from e
+            raise
 
     @contextmanager
     def lock(self, name: str = "_writer.lock") -> Iterator[None]:
