@@ -105,7 +105,7 @@ def shared(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordB
             continue
         same = key[1:] == key[:-1]
         like = np.append(before, same)  # of the same key as the row before
-        first = np.where(like, 0, np.arange(len(key)))
+        first = np.where(like, np.iinfo(np.int64).min, np.arange(len(key)))  # where a run begins
         first[0] = -place
         at = np.arange(len(key)) - np.maximum.accumulate(first)
         yield some(key[:-1], node[:-1], at[:-1], like[:-1] | same)
