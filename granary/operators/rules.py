@@ -38,22 +38,29 @@ def grade_sql(value: str, limits: AuditConfig) -> str:
     return f"case when {value} >= {limits.severity_high}D then 'high' when {value} >= {limits.severity_medium}D then 'medium' else 'low' end"
 
 
-def result_sql(rule: Rule, limits: AuditConfig) -> str:
-    """The result struct, from the columns why_<rule> and hit_<rule>."""
-    why, hit = f"why_{rule.name}", f"hit_{rule.name}"
-    told = {name: finite_sql(rule.evidence[name]) if kind == "double" and name in rule.evidence else f"cast({rule.evidence.get(name, 'null')} as {kind})" for name, kind in EVIDENCE.items()}
-    field = {name: f"case when {why} is null then {x} end" for name, x in told.items()} | {
-        "tier": f"'{rule.tier}'", "rule": f"'{rule.name}'", "reason": why, "observed_value": finite_sql(rule.observed),
-        "status": f"case when {why} is not null then 'not_applied' when {hit} then 'flagged' else 'not_flagged' end",
-        "severity": f"case when {hit} then {repr(rule.severity) if rule.severity else grade_sql(told['value_at_risk'], limits)} end",
+def raw_sql(rule: Rule) -> str:
+    """What the row says about a rule: why it doesn't apply, whether it would hit, and the evidence."""
+    told = {n: f"cast({rule.evidence.get(n, 'null')} as {kind})" for n, kind in EVIDENCE.items()}
+    why = "case " + " ".join(f"when {condition} then '{reason}'" for reason, condition in rule.skip.items()) + " end" if rule.skip else "cast(null as string)"
+    fixed = f"'{rule.severity}'" if rule.severity else "null"
+    own = {"tier": f"'{rule.tier}'", "rule": f"'{rule.name}'", "why": why, "hit": f"coalesce({rule.hit}, false)", "observed": f"cast({rule.observed} as double)", "fixed": f"cast({fixed} as string)"} | told
+    return "named_struct(" + ", ".join(f"'{n}', {x}" for n, x in own.items()) + ")"
+
+
+def result_sql(limits: AuditConfig) -> str:
+    """The result that follows from a raw struct c, the same for every rule."""
+    told = {n: f"case when c.why is null then {finite_sql(f'c.{n}') if kind == 'double' else f'c.{n}'} end" for n, kind in EVIDENCE.items()}
+    field = told | {
+        "tier": "c.tier", "rule": "c.rule", "reason": "c.why", "observed_value": finite_sql("c.observed"),
+        "status": "case when c.why is not null then 'not_applied' when c.hit then 'flagged' else 'not_flagged' end",
+        "severity": f"case when c.why is null and c.hit then coalesce(c.fixed, {grade_sql(finite_sql('c.value_at_risk'), limits)}) end",
     }
-    return "named_struct(" + ", ".join(f"'{name}', {field[name]}" for name in FIELDS) + ")"
+    return "named_struct(" + ", ".join(f"'{n}', {field[n]}" for n in FIELDS) + ")"
 
 
 def judged(rows: DataFrame, rules: tuple[Rule, ...], limits: AuditConfig, results: str = "check_results") -> DataFrame:
-    """rows with an array of each rule's result, in order; a condition that is unknown doesn't hold."""
-    reasons = {r.name: "case " + " ".join(f"when {condition} then '{reason}'" for reason, condition in r.skip.items()) + " end" if r.skip else "cast(null as string)" for r in rules}
-    rows = rows.withColumns({f"why_{name}": F.expr(x) for name, x in reasons.items()})
-    rows = rows.withColumns({f"hit_{r.name}": F.expr(f"coalesce(why_{r.name} is null and ({r.hit}), false)") for r in rules})
-    rows = rows.withColumn(results, F.array(*[F.expr(result_sql(r, limits)) for r in rules]))
-    return rows.drop(*[f"{x}_{r.name}" for r in rules for x in ("why", "hit")])
+    """rows with an array of each rule's result, in order; a condition that is unknown doesn't hold.
+
+    It is one column and no more: the optimizer carries conditions on a result through every named step, and many steps would multiply them.
+    """
+    return rows.withColumn(results, F.expr(f"transform(array({', '.join(map(raw_sql, rules))}), c -> {result_sql(limits)})"))
