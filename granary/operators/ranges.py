@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,3 +38,17 @@ def median_of_few(df: DataFrame, by: list[str], value: Column) -> DataFrame:
     middle = (F.col("total") - 1) / 2
     at = lambda place: F.max(F.when((F.col("below") <= place) & (place < F.col("below") + F.col("n")), F.col("v")))
     return ranked.groupBy(*by).agg(F.max("total").alias("n"), ((at(F.floor(middle)) + at(F.ceil(middle))) / 2).alias("med"))
+
+
+def quantiles_of_few(df: DataFrame, by: list[str], value: Column, shares: Sequence[float]) -> DataFrame:
+    """by, n, and q<per mille> for each share: exact, interpolated quantiles of few groups that may hold very many different values."""
+    ranked = running(df.groupBy(*by, value.alias("v")).agg(F.count("*").alias("n")), *by)
+    at = lambda place: F.max(F.when((F.col("below") <= place) & (place < F.col("below") + F.col("n")), F.col("v")))
+    ends = []
+    for q in shares:
+        place = (F.col("total") - 1) * q
+        ends += [at(F.floor(place)).alias(f"low_{q}"), at(F.ceil(place)).alias(f"high_{q}")]
+    found = ranked.groupBy(*by).agg(F.max("total").alias("n"), *ends)
+    part = lambda q: (F.col("n") - 1) * q - F.floor((F.col("n") - 1) * q)
+    between = lambda q: F.col(f"`low_{q}`") + part(q) * (F.col(f"`high_{q}`") - F.col(f"`low_{q}`"))
+    return found.select(*by, "n", *[between(q).alias(f"q{round(1000 * q)}") for q in shares])

@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def _loaded() -> None:
-    from granary.plans import engine, retail  # noqa: F401
+    from granary.plans import engine, exploration, retail  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
