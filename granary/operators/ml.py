@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from datetime import date
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler, StandardScalerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 from granary.operators.reports import class_metrics, confusion
 from granary.operators.rfm import log_features
 from granary.schema import ContractError
+from granary.sources.storage import Files
 
 FEATURES = ["Recency_log", "Frequency_log", "Monetary_log"]
 
@@ -68,8 +72,20 @@ def same_assignments(a: PipelineModel, b: PipelineModel, metrics: DataFrame) ->
     return one.join(two.withColumnRenamed("Cluster", "other"), "CustomerID").where("Cluster <> other").isEmpty()
 
 
+def parameters(model: PipelineModel) -> Iterator[float]:
+    """All fitted numbers of a clustering."""
+    for part in model.stages:
+        if isinstance(part, StandardScalerModel):
+            yield from (*part.mean, *part.std)
+        elif isinstance(part, KMeansModel):
+            for centre in part.clusterCenters():
+                yield from centre
+
+
 def save_checked(model: PipelineModel, path: str, metrics: DataFrame) -> None:
-    """Saves a model; one that doesn't come back the same is an error."""
+    """Saves a model; one with parameters that aren't finite, or that doesn't come back the same, is an error."""
+    if not all(math.isfinite(x) for x in parameters(model)):
+        raise ContractError("the model has parameters that aren't finite")
     model.write().save(path)
     if not same_assignments(model, PipelineModel.load(path), metrics):
         raise ContractError(f"{path}: the loaded model differs")
@@ -118,3 +134,69 @@ def select_student(train: DataFrame, validation: DataFrame, test: DataFrame, k:
     both = train.unionByName(validation).dropDuplicates(["CustomerID"])
     report = {"candidate": asdict(best), "validation": found, "test": cohorts(fit_student(both, best, k, seed), test, both)}
     return fit_student(both.unionByName(test).dropDuplicates(["CustomerID"]), best, k, seed), report
+
+
+# ---------------------------------------------------------------------------------------------- the student as a bundle
+
+
+BUNDLE_VERSION = 1
+TARGET = "frozen_clusters"
+SPLITS = ("train", "validation", "test", "refit")
+
+
+def bundle_info(student: PipelineModel, candidate: Candidate, k: int, dates: dict[str, str]) -> dict:
+    """What a bundle says about its student. dates: cutoffs of training, validation, test and refit."""
+    return {"bundle_version": BUNDLE_VERSION, "target": TARGET, "model_id": student.uid, "k": k, "candidate": asdict(candidate), "dates": {n: dates[n] for n in SPLITS}}
+
+
+def require_info(info: dict, run_date: str | None = None) -> None:
+    """A known kind of bundle, its cutoffs in order, and a run after the last of them."""
+    if (info.get("bundle_version"), info.get("target")) != (BUNDLE_VERSION, TARGET):
+        raise ContractError("unknown bundle: train again")
+    days = [date.fromisoformat(info["dates"][n]) for n in SPLITS]
+    if any(a >= b for a, b in zip(days, days[1:], strict=False)):
+        raise ContractError(f"the cutoffs aren't in order: {info['dates']}")
+    if not isinstance(info["k"], int) or info["k"] < 2 or min(info["candidate"]["trees"], info["candidate"]["depth"]) < 1:
+        raise ContractError("k, trees or depth out of range")
+    if run_date is not None and date.fromisoformat(run_date) <= days[-1]:
+        raise ContractError(f"the student has seen {run_date}")
+
+
+def require_student(model: PipelineModel, info: dict) -> None:
+    """The features and the forest that info names, and nothing else."""
+    kinds = [type(x) for x in model.stages]
+    if kinds != [VectorAssembler, RandomForestClassificationModel]:
+        raise ContractError(f"not a student: {[x.__name__ for x in kinds]}")
+    features, forest = model.stages
+    have = {
+        "model_id": model.uid, "inputs": features.getInputCols(), "vector": features.getOutputCol(), "read": forest.getFeaturesCol(), "label": forest.getLabelCol(), "out": forest.getPredictionCol(),
+        "classes": forest.numClasses, "width": forest.numFeatures, "trees": forest.getNumTrees, "depth": forest.getMaxDepth(),
+    }
+    want = {
+        "model_id": info["model_id"], "inputs": FEATURES, "vector": "raw_features", "read": "raw_features", "label": "Cluster", "out": "predicted",
+        "classes": info["k"], "width": len(FEATURES), "trees": info["candidate"]["trees"], "depth": info["candidate"]["depth"],
+    }
+    wrong = {n: (have[n], want[n]) for n in want if have[n] != want[n]}
+    if wrong:
+        raise ContractError(f"the student isn't what its bundle says: {wrong}")
+
+
+def save_bundle(files: Files, path: str, student: PipelineModel, teacher: PipelineModel, info: dict) -> None:
+    """Student, teacher, and last the document that makes them a bundle."""
+    require_info(info)
+    require_student(student, info)
+    student.write().save(f"{path}/student")
+    teacher.write().save(f"{path}/teacher")
+    require_student(PipelineModel.load(f"{path}/student"), info)
+    files.write_json(f"{path}/bundle.json", info)
+
+
+def load_bundle(files: Files, path: str, run_date: str) -> tuple[PipelineModel, dict]:
+    """A complete bundle for a run after its refit."""
+    if not files.exists(f"{path}/bundle.json"):
+        raise ContractError(f"{path} isn't complete")
+    info = files.read_json(f"{path}/bundle.json")
+    require_info(info, run_date)
+    student = PipelineModel.load(f"{path}/student")
+    require_student(student, info)
+    return student, info

@@ -255,13 +255,28 @@ class Workspace:
                         stream.close()
         return json_hash(found)
 
+    def pin(self, context: dict) -> dict:
+        """What a run trains on, written once: its cleaning, source and code, and the cutoffs of the splits."""
+        etl = self.stage(context, "etl")
+        value = {"context_hash": json_hash(context), "etl_hash": json_hash(etl), "source_hash": context["source_hash"], "code": code_hash(), "dates": training_dates(context["run_date"])}
+        name = self.run_file(context["run_key"], "training")
+        if value["dates"]["train"] <= context["first_date"]:
+            value["dates"] = None  # too short a history to hold rows out
+        if self.files.exists(name):
+            if self.files.read_json(name) != value:
+                raise ContractError("what the run trains on changed: start a new run")
+            return value
+        self.write(name, value)
+        return value
+
     def train(self, context: dict, k: int, version: str, seed: int = 42) -> dict:
         """Fits, saves, checks and registers a model on a run's cleaned data."""
+        pinned = self.pin(context)
         etl = self.stage(context, "etl")
         metrics = rfm.metrics(clean.metrics_history(self.spark.read.parquet(etl["outputs"]["curated"]), context["run_date"]), context["run_date"])
         path = self.files.at("models", version, "pipeline")
         ml.save_checked(ml.fit_kmeans(metrics, k, seed), path, metrics)
-        return self.register(path, k, version, cutoff=context["run_date"], etl_hash=json_hash(etl), seed=seed)
+        return self.register(path, k, version, cutoff=context["run_date"], etl_hash=json_hash(etl), seed=seed, training_hash=json_hash(pinned))
 
     def daily(self, context: dict, config: Config = DEFAULT) -> dict:
         """All stages of a day and its publication."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import uuid
 from datetime import date, timedelta
 
@@ -14,7 +15,9 @@ from granary.schema import COLUMNS, ContractError
 from granary.sources.readers import DATE_FORMAT, landing_csv
 from granary.sources.storage import Files
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
+#: Rows of a file at most, so that its hash is taken of a bounded text.
+FILE_ROWS = 1_000_000
 UNDATED = "undated"
 
 
@@ -34,6 +37,14 @@ def days(first: str, last: str) -> list[str]:
     return [(a + timedelta(n)).isoformat() for n in range((b - a).days + 1)]
 
 
+def hashes(spark: SparkSession, folders: list[str]) -> dict[str, str]:
+    """sha256 of every file in the folders, by folder and file name; a row a file comes to the driver."""
+    if not folders:
+        return {}
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folders)
+    return dict(files.select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1), F.sha2("content", 256)).collect())
+
+
 def split(spark: SparkSession, source: str, root: str, version: str, encoding: str = "cp1252") -> dict:
     """Writes one UTF-8 CSV folder for each day that the source holds, and one for undated rows, then the manifest.
 
@@ -57,12 +68,20 @@ def split(spark: SparkSession, source: str, root: str, version: str, encoding: s
     if not dated:
         raise ContractError("no row has a date")
     beside = files.at("landing", f".{version}-{uuid.uuid4().hex}")
-    keyed.repartition("date").write.partitionBy("date").options(header=True, escape='"', quoteAll=True, encoding="UTF-8", emptyValue="", nullValue="").csv(beside)
+    spread = keyed.hint("rebalance", "date")  # a day of many rows goes to several tasks
+    spread.write.partitionBy("date").options(maxRecordsPerFile=FILE_ROWS, header=True, escape='"', quoteAll=True, encoding="UTF-8", emptyValue="", nullValue="").csv(beside)
     back = texts(spark, [f"{beside}/date={d}" for d in counts], "UTF-8")
     blank = lambda df: df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in COLUMNS])
     if not multiset_difference(blank(back), blank(rows)).isEmpty():
         raise ContractError("what was written isn't what was read")
-    entry = lambda d: {"path": f"date={d}" if d in counts else None, "rows": counts.get(d, 0)}
+    marks = hashes(spark, [f"{beside}/date={d}" for d in counts])
+
+    def entry(day: str) -> dict:
+        if day not in counts:
+            return {"path": None, "rows": 0}
+        files_of = {n: {"bytes": size, "sha256": marks[f"date={day}/{n}"]} for n, size in files.sizes(f"{beside}/date={day}").items()}
+        return {"path": f"date={day}", "rows": counts[day], "bytes": sum(f["bytes"] for f in files_of.values()), "files": files_of}
+
     manifest = {
         "schema_version": SCHEMA_VERSION, "version": version, "source": mark, "encoding": encoding, "first_date": dated[0], "last_date": dated[-1], "rows": sum(counts.values()),
         "partitions": {d: entry(d) for d in days(dated[0], dated[-1])}, "undated": entry(UNDATED), "complete": True,
@@ -73,8 +92,11 @@ def split(spark: SparkSession, source: str, root: str, version: str, encoding: s
     return manifest
 
 
-def validated(spark: SparkSession, root: str, version: str, business_date: str) -> tuple[dict, list[str]]:
-    """(manifest, folders to read) up to a day: complete, of this version and schema, the day covered, every folder there."""
+def validated(spark: SparkSession, root: str, version: str, business_date: str, checksums: bool = False) -> tuple[dict, list[str]]:
+    """(manifest, folders to read) up to a day: complete, of this version and schema, the day covered, every file there with its size and header.
+
+    With checksums every file is read and its hash compared too.
+    """
     files = Files(spark, root)
     place = files.at("landing", version)
     manifest = files.read_json(f"{place}/manifest.json")
@@ -88,16 +110,24 @@ def validated(spark: SparkSession, root: str, version: str, business_date: str)
     entries = [manifest["undated"] if d == UNDATED else manifest["partitions"].get(d) for d in wanted]
     if None in entries:
         raise ContractError("a day is missing from the manifest")
-    folders = [f"{place}/{e['path']}" for e in entries if e["path"]]
-    for f in folders:
-        if not files.names(f):
-            raise ContractError(f"{f} is missing or empty")
-    return manifest, folders
-
-
-def read_landing(spark: SparkSession, root: str, version: str, business_date: str) -> tuple[DataFrame, DataFrame]:
+    held = {f"{place}/{e['path']}": e["files"] for e in entries if e["path"]}
+    for folder, wanted_files in held.items():
+        if files.sizes(folder) != {n: f["bytes"] for n, f in wanted_files.items()}:
+            raise ContractError(f"{folder}: files are missing, added, or of another size")
+        for name in wanted_files:
+            if next(csv.reader([files.first_line(f"{folder}/{name}") or ""]), None) != list(COLUMNS):
+                raise ContractError(f"{folder}/{name}: another header")
+    if checksums:
+        found = hashes(spark, list(held))
+        changed = [f"{folder}/{n}" for folder, fs in held.items() for n, f in fs.items() if found.get(f"{folder.rsplit('/', 1)[1]}/{n}") != f["sha256"]]
+        if changed:
+            raise ContractError(f"files were changed: {changed[:5]}")
+    return manifest, list(held)
+
+
+def read_landing(spark: SparkSession, root: str, version: str, business_date: str, checksums: bool = True) -> tuple[DataFrame, DataFrame]:
     """(typed, rejected) of all days up to a business date; typed rows after it are an error."""
-    _, folders = validated(spark, root, version, business_date)
+    _, folders = validated(spark, root, version, business_date, checksums)
     typed, rejected = landing_csv(spark, folders)
     after = F.lit(business_date).cast("date")
     if not typed.where(F.to_date("InvoiceDate") > after).isEmpty():

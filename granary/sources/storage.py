@@ -42,12 +42,27 @@ class Files:
         finally:
             stream.close()
 
+    def first_line(self, name: str) -> str | None:
+        stream = self.fs.open(self.path(name))
+        try:
+            return self.spark._jvm.java.io.BufferedReader(self.spark._jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+        finally:
+            stream.close()
+
+    def sizes(self, folder: str) -> dict[str, int]:
+        """Bytes of the data files of a folder, by name."""
+        found = self.fs.listStatus(self.path(folder)) if self.exists(folder) else []
+        return {s.getPath().getName(): s.getLen() for s in found if s.isFile() and s.getPath().getName()[0] not in "._"}
+
     def write_json(self, name: str, value: dict) -> None:
+        self.write_text(name, json.dumps(value, sort_keys=True, indent=1))
+
+    def write_text(self, name: str, value: str) -> None:
         """Whole or not at all: written beside its place and renamed; an existing file is an error."""
         beside = f"{name}.{uuid.uuid4().hex}.tmp"
         stream = self.fs.create(self.path(beside), False)
         try:
-            stream.write(bytearray(json.dumps(value, sort_keys=True, indent=1).encode()))
+            stream.write(bytearray(value.encode()))
             stream.hsync()
         finally:
             stream.close()
