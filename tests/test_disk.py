@@ -12,6 +12,7 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 NAMES = [
     "row_status",
     "price_deviation_by_part",
+    "price_deviation_by_type",
 ]
 
 
