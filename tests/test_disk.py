@@ -14,6 +14,7 @@ NAMES = [
     "price_deviation_by_part",
     "price_deviation_by_type",
     "quantity_deviation_by_part",
+    "quantity_deviation_by_type",
 ]
 
 
