@@ -33,7 +33,7 @@ def k_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 @query("student_scores")
 def student_scores(spark: SparkSession, d: str) -> DataFrame:
-    metrics = rfm.metrics(cleaned(spark, d), RUN_DATE)
+    metrics = stage(rfm.metrics(cleaned(spark, d), RUN_DATE), "rfm")  # clusters and forest look at them many times
     labelled = ml.assign(ml.fit_kmeans(metrics, 2), metrics, "k2").drop("model_version")
     return ml.student_scores(ml.fit_student(labelled, ml.Candidate(20, 5), 2), metrics, "student").select("CustomerID", "Cluster", "confidence")
 

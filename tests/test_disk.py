@@ -5,7 +5,7 @@ import os
 import pytest
 
 from granary.operators import audit, clean
-from granary.plans import retail
+from granary.plans import engine, retail
 from granary.sources import staging
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -53,3 +53,11 @@ def test_the_shuffles_of_a_staged_table_end_with_it(spark):
     before = blocks()
     staging.stage(spark.range(1000).selectExpr("id % 7 k").groupBy("k").count(), "counts")
     assert blocks() <= before
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_student_reads_its_metrics_once(spark, monkeypatch):
+    staged = []
+    monkeypatch.setattr(engine, "stage", lambda df, tag: staged.append(tag) or staging.stage(df, tag))
+    plan = engine.student_scores(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert staged == ["rfm"] and "lineitem" not in plan and "l_orderkey" not in plan
